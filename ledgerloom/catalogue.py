@@ -1,0 +1,6 @@
+"""Named queries over the fixture tables, and the SQL they are compared with."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
