@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import lines, mixing
 
 QUERIES = {
+    "op2_lines": lines.op2_lines,
     "op7_mix": mixing.op7_mix,
 }
 
 ORACLES = {
+    "op2_lines": lines.SQL,
     "op7_mix": mixing.SQL,
 }
