@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import lines, mixing
+from . import lines, mixing, warc
 
 QUERIES = {
     "op2_lines": lines.op2_lines,
+    "op3_warc": warc.op3_warc,
     "op7_mix": mixing.op7_mix,
 }
 
 ORACLES = {
+    "op3_warc": warc.SQL,
     "op2_lines": lines.SQL,
     "op7_mix": mixing.SQL,
 }
