@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, warc
+from . import lines, mixing, packing, warc
 
 QUERIES = {
     "op2_lines": lines.op2_lines,
     "op3_warc": warc.op3_warc,
+    "op4_pack": packing.op4_pack,
     "op7_mix": mixing.op7_mix,
 }
 
