@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from .common import WORD, stored
 
 WINDOW_WORDS = 5
-#: The chi-squared distribution with 4 degrees of freedom: its median, and its 0.9999 quantile as cutoff.
-FEATURES, CHI_MEDIAN, CUTOFF = 4, 3.3567, 23.51
-STEPS, SHARE, SMALL, FLOOR = 3, 0.75, 60, 1e-3
+#: The chi-squared distribution with 4 degrees of freedom: its median, and its 1 - 1e-6 quantile as cutoff.
+FEATURES, CHI_MEDIAN, CUTOFF = 4, 3.3567, 33.38
+STEPS, SHARE, SMALL = 3, 0.75, 60
+#: Standard deviations that are added to every scatter: most texts have no symbols and no repetition at all,
+#: and a scatter of zero would reject any other (a regularised determinant estimate).
+FLOORS = (0.06, 0.05, 0.1, 0.3)
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -46,7 +49,6 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Only texts with a repeated window sort theirs: neighbours in that order share a window's words.
     ordered = F.when(F.col("twice"), F.array_sort(F.transform("hs", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     a = a.withColumn("os", ordered)
-    same = lambda x, i: (F.get("os", i - 1)["h"] == x["h"]) | (F.get("os", i + 1)["h"] == x["h"])
     a = a.withColumn("hits", F.filter("os", lambda x, i: F.coalesce(F.get("os", i + 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.when(i > 0, F.get("os", i - 1)["h"] == x["h"]), F.lit(False))))
     a = a.withColumn("starts", F.array_sort(F.transform("hits", lambda x: x["i"])))
     covered = F.aggregate(F.transform("starts", lambda s, i: F.least(F.lit(n), F.coalesce(F.get("starts", i + 1) - s, F.lit(n)))), F.lit(0), lambda x, y: x + y)
@@ -60,8 +62,8 @@ def vector(stats: DataFrame) -> DataFrame:
     lines = F.greatest("n_lines", F.lit(1)).cast("double")
     return (
         stats.withColumn("x0", F.log1p(F.col("word_chars") / words))
-        .withColumn("x1", F.sqrt(F.col("n_symbols") / words))
-        .withColumn("x2", F.sqrt(F.col("n_repeat_words") / words) + F.sqrt(F.col("n_dup_lines") / lines))
+        .withColumn("x1", F.col("n_symbols") / words)
+        .withColumn("x2", F.col("n_repeat_words") / words + F.col("n_dup_lines") / lines)
         .withColumn("x3", F.log1p(words / lines))
     )
 
@@ -81,13 +83,13 @@ def _distance(p: str = "p") -> Column:
 
 
 def _with_factor(df: DataFrame) -> DataFrame:
-    """Cholesky factor l of the scatter c, kept regular by FLOOR squared on its diagonal, column by column."""
+    """Cholesky factor l of the scatter c, kept regular by FLOORS squared on its diagonal, column by column."""
     for i in range(FEATURES):
         for j in range(i + 1):
-            s = F.col(f"c{i}{j}") + (F.lit(FLOOR * FLOOR) if i == j else F.lit(0.0))
+            s = F.col(f"c{i}{j}") + (F.lit(FLOORS[i] ** 2 if i == j else 0.0))
             for k in range(j):
                 s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(FLOOR * FLOOR / 4))) if i == j else s / F.col(f"l{j}{j}"))
+            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(FLOORS[i] ** 2 / 4))) if i == j else s / F.col(f"l{j}{j}"))
     return df
 
 
