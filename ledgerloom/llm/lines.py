@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stored
+from .common import ascii_lowered, stored
 
 SLOTS = 4  # in a bucket of a filter
 BLANK = "\t\n\x0b\x0c\r "
@@ -149,11 +149,11 @@ class LineIndex:
 
     def keys(self, text: Column) -> Column:
         """For each line of the text its key as struct<h1,h2>, null for lines that are too short to count."""
-        def key(line: Column) -> Column:
-            bare = F.translate(F.trim(line, F.lit(BLANK)), UPPER, LOWER)
-            return F.when(F.length(F.trim(line, F.lit(BLANK))) >= self.min_chars, F.struct(F.xxhash64(bare).alias("h1"), F.xxhash64(F.lit("ledger"), bare).alias("h2")))
-
-        return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), key)
+        # One step a transform: inside a lambda nothing that is used twice is computed once.
+        lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+        bare = F.transform(lines, lambda line: F.trim(line, F.lit(BLANK)))
+        low = F.transform(bare, lambda b: F.when(F.length(b) >= self.min_chars, ascii_lowered(b)))
+        return F.transform(low, lambda k: F.when(k.isNotNull(), F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("ledger"), k).alias("h2"))))
 
     def pairs(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """One row for each document and distinct key of it."""
@@ -224,11 +224,10 @@ class LineIndex:
         gone = self.doomed().select(F.col("doc_id").alias("__id"), "gone")
         lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
         joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
-        kept = F.when(F.col("gone").isNull(), lines).otherwise(
-            F.transform(F.filter(F.arrays_zip(lines.alias("line"), self.keys(F.col(text_col)).alias("key")), lambda x: x["key"].isNull() | ~F.array_contains(F.col("gone"), x["key"])), lambda x: x["line"])
-        )
-        out = joined.withColumn("__kept", kept).withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.col("n_lines") - F.size("__kept"))
-        return out.withColumn(text_col, F.array_join("__kept", "\n")).drop("__kept", "__id", "gone")
+        zipped = F.arrays_zip(lines.alias("line"), self.keys(F.col(text_col)).alias("key"))
+        kept = F.when(F.col("gone").isNotNull(), F.transform(F.filter(zipped, lambda x: x["key"].isNull() | ~F.array_contains(F.col("gone"), x["key"])), lambda x: x["line"]))
+        out = joined.withColumn("__kept", kept).withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("__kept"), F.lit(0).cast("long")))
+        return out.withColumn(text_col, F.when(F.col("gone").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(F.array_join("__kept", "\n"))).drop("__kept", "__id", "gone")
 
 
 def _counted(postings: DataFrame) -> DataFrame:
