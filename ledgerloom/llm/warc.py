@@ -2,7 +2,7 @@
 
 A capture is three records: `request`, `response` (or `revisit` where an earlier capture has the same
 payload) and `metadata`. Request and metadata name the response by WARC-Concurrent-To. Archives are written
-by Spark's text writer, one record a row with CRLF between rows, so that files reach whatever store the
+by Spark's text writer and compressed, one record a row with CRLF between rows, so that files reach whatever store the
 shared folder is in, and a lost task is written again as a whole. They are read as whole files, which the
 writer keeps near `file_bytes`, and records are cut by their Content-Length alone: a payload may hold anything.
 
@@ -14,6 +14,7 @@ columns of the input are ignored. Records without partners give a capture with t
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch
+from .common import scratch, stored
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 FILE_BYTES = 16 << 20
@@ -45,12 +46,15 @@ def write_archives(captures: DataFrame, path: str, file_bytes: int = FILE_BYTES,
     """Writes captures as WARC files in `path`. Equal payloads of at least `min_revisit_bytes` are stored once."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = captures.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", base32_sha1(F.col("payload"))).withColumn("n", F.octet_length("payload"))
-    # Groups of equal payloads that have more than one id; the smallest id answers for the group.
-    first = rows.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    files = max(1, (total[0] + 1500 * total[1]) // file_bytes + 1)
-    # A null id can't be anyone's first: such rows are responses.
-    full = rows.join(first, "digest", "left").withColumn("again", F.coalesce((F.col("n") >= min_revisit_bytes) & (F.col("id") > F.col("first")), F.lit(False)))
+    # Groups of equal payloads that have more than one id; the smallest id answers for the group. The ids are
+    # settled on narrow rows, so that payloads are shuffled once.
+    narrow = stored(rows.select("id", "digest", "n"), "warc-digests")
+    first = narrow.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    revisits = narrow.where(F.col("n") >= min_revisit_bytes).join(first, "digest").where("id > first").select("id", "digest", "first").distinct()
+    total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    files = int((total[0] + 1500 * total[1]) // file_bytes + 1)
+    # A null id can't be anyone's first, nor revisit: such rows are responses.
+    full = rows.repartition(files, "id").join(revisits, ["id", "digest"], "left").withColumn("again", F.col("first").isNotNull())
     urn = lambda kind, key: F.concat(F.lit(f"<urn:{kind}:"), F.coalesce(key.cast("string"), F.lit("none")), F.lit(">"))
     answer, when = urn("capture", F.col("id")), F.lit(f"WARC-Date: {date}")
     target = F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", ""))
@@ -63,9 +67,9 @@ def write_archives(captures: DataFrame, path: str, file_bytes: int = FILE_BYTES,
     beside = F.concat(F.lit("WARC-Concurrent-To: "), answer)
     request = _record(F.lit("request"), urn("request", F.col("id")), [when, target, beside, F.lit("Content-Type: application/http;msgtype=request")], F.concat(F.lit("GET / HTTP/1.1" + CRLF + "Accept: text/html" + CRLF * 2)))
     metadata = _record(F.lit("metadata"), urn("metadata", F.col("id")), [when, target, beside, F.lit("Content-Type: application/warc-fields")], F.concat(F.lit("captureId: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(CRLF)))
-    records = full.repartition(int(files), F.xxhash64("id", "url", "digest")).select(F.explode(F.array(request, response, metadata)).alias("value"))
+    records = full.select(F.explode(F.array(request, response, metadata)).alias("value"))
     # Parts of a file's records may lie in any order and, on a re-run, in another: records are found by their ids.
-    records.write.option("lineSep", CRLF).text(path)
+    records.write.option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
 RECORD = T.StructType([T.StructField("type", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("concurrent_to", T.StringType()), T.StructField("refers_to", T.StringType()), T.StructField("target", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("block_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha1", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("fields", T.StringType())])
@@ -73,7 +77,7 @@ _ARROW = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("concurr
 
 
 def records_of(data: bytes) -> Iterator[dict]:
-    """The records of an uncompressed WARC file. Raises ValueError where the file is no sequence of records."""
+    """The records of a WARC file's bytes. Raises ValueError where the file is no sequence of records."""
     at = 0
     while at < len(data):
         if not data.startswith(b"WARC/", at):
@@ -106,7 +110,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         for batch in batches:
             for data in batch["content"]:
                 rows, held = [], 0
-                for r in records_of(data.as_buffer().to_pybytes()):
+                raw = data.as_buffer().to_pybytes()
+                for r in records_of(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     if not payloads:
                         r["payload"] = None
                     rows.append(r)
