@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, lines, mixing, outliers, packing, warc
+from . import audio, language, lines, mixing, outliers, packing, warc
 
 QUERIES = {
     "op2_lines": lines.op2_lines,
     "op3_warc": warc.op3_warc,
     "op4_pack": packing.op4_pack,
+    "op6_audio": audio.op6_audio,
     "op7_mix": mixing.op7_mix,
     "op8_language": language.op8_language,
     "op10_outliers": outliers.op10_outliers,
