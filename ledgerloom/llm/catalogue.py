@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, language, lines, mixing, outliers, packing, warc
+from . import audio, language, lines, mixing, outliers, packing, quality, warc
 
 QUERIES = {
     "op2_lines": lines.op2_lines,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_audio": audio.op6_audio,
     "op7_mix": mixing.op7_mix,
     "op8_language": language.op8_language,
+    "op9_quality": quality.op9_quality,
     "op10_outliers": outliers.op10_outliers,
 }
 
