@@ -29,37 +29,48 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-WINDOW, END_ID, BUCKETS, SLACK = 2048, 1, 256, 4
-CACHED_WORDS = 600_000  # a worker forgets its words beyond this many
+WINDOW, END_ID, BUCKETS, SLACK, BROADCAST_ROWS = 2048, 1, 256, 4, 500_000
+CACHED_WORDS = 1_200_000  # a worker forgets its words beyond this many
+ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 PIECES = "doc_id bigint, text_hash bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
 
+class Words(dict):
+    """Ids by word, as little-endian unsigned 32-bit numbers, found when a word is first asked for."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __missing__(self, word: bytes) -> bytes:
+        # A sign after an ASCII letter or digit is a token of its own, and most words come with several signs.
+        if len(word) > 1 and word[-1] in b".,;:!?" and word[-2] in ALNUM:
+            ids = self[word[:-1]] + self[word[-1:]]
+        else:
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never joins what it separates, so ids are kept by word."""
+    The tokenizer lower-cases, drops white space and never joins what that separates, so ids are kept by
+    lower-case word."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        self.words = Words(path)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").encode().split() for t in texts]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        words = self.words
-        new = [w for w in set().union(*split) if w not in words]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                words[w] = np.array(e.ids, "<u4").tobytes()
-        end, get = np.array([END_ID], "<u4").tobytes(), words.__getitem__
-        for s in split:
-            yield b"".join(map(get, s)) + end
+        end, get = np.array([END_ID], "<u4").tobytes(), self.words.__getitem__
+        for t in texts:
+            yield b"".join(map(get, (t or "").encode().lower().split())) + end
 
 
 _encoders: dict[str, Encoder] = {}
@@ -217,6 +228,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str
     part = lambda start, length, there: F.struct(start.alias("start"), length.alias("length"), there.alias("there"))
     halves = split.select("doc_id", "text_hash", "doc_tokens", F.explode(F.array(part(F.col("start"), F.col("room"), F.col("there")), part(F.col("start") + F.col("room"), F.col("length") - F.col("room"), F.col("there") + F.col("room")))).alias("x")).select("doc_id", "text_hash", "doc_tokens", "x.start", "x.length", "x.there")
     keys = split.select(F.col("doc_id").alias("o_doc"), F.col("text_hash").alias("o_hash")).distinct()
+    if split.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)  # else every text would be shuffled for a few
     same = F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("text_hash") == F.col("o_hash"))
     own = texts.join(keys, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "o_doc", "text_hash": "o_hash"})
     joined = halves.join(own, same).drop("o_doc", "o_hash", "text_hash")
