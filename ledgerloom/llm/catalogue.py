@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import audio, language, lines, mixing, outliers, packing, quality, warc
+from . import audio, language, lines, mixing, neardup, outliers, packing, quality, warc
 
 QUERIES = {
     "op2_lines": lines.op2_lines,
     "op3_warc": warc.op3_warc,
     "op4_pack": packing.op4_pack,
+    "op5_neardup": neardup.op5_neardup,
     "op6_audio": audio.op6_audio,
     "op7_mix": mixing.op7_mix,
     "op8_language": language.op8_language,
