@@ -25,7 +25,7 @@ from .common import WORD, stored
 WINDOW_WORDS = 5
 #: The chi-squared distribution with 4 degrees of freedom: its median, and its 1 - 1e-6 quantile as cutoff.
 FEATURES, CHI_MEDIAN, CUTOFF = 4, 3.3567, 33.38
-STEPS, SHARE, SMALL = 3, 0.75, 60
+STEPS, SHARE, SMALL, BROADCAST_GROUPS, SALTS = 3, 0.75, 60, 50_000, 32
 #: Standard deviations that are added to every scatter: most texts have no symbols and no repetition at all,
 #: and a scatter of zero would reject any other (a regularised determinant estimate).
 FLOORS = (0.06, 0.05, 0.1, 0.3)
@@ -99,25 +99,40 @@ def _moments(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(*sums)
 
 
+def _beside(rows: DataFrame, found: DataFrame, by: str, many: bool) -> DataFrame:
+    """rows with their group's estimate. Up to BROADCAST_GROUPS groups it is broadcast; beyond, a group's rows are
+    dealt over SALTS tasks, so that a large group isn't read by one."""
+    if not many:
+        return rows.join(F.broadcast(found), by)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*X), F.lit(SALTS)))
+    return salted.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [by, "salt"]).drop("salt")
+
+
 def estimate(rows: DataFrame, by: str = "g", steps: int = STEPS, share: float = SHARE) -> DataFrame:
     """g, m, l and scale for rows (g, x): one row a group. All passes read the narrow rows alone."""
     accuracy = F.lit(10_000)
     half = lambda c: F.percentile_approx(c, F.lit(0.5), accuracy)
-    middle = rows.groupBy(by).agg(*(half(F.col(x)).alias(f"m{i}") for i, x in enumerate(X)))
-    spread = rows.join(middle, by).groupBy(by).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(FEATURES)), *(half(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"s{i}") for i, x in enumerate(X)))
+    middle = stored(rows.groupBy(by).agg(*(half(F.col(x)).alias(f"m{i}") for i, x in enumerate(X))), "mcd-middle")
+    many = middle.count() > BROADCAST_GROUPS
+    spread = _beside(rows, middle, by, many).groupBy(by).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(FEATURES)), *(half(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"s{i}") for i, x in enumerate(X)))
     for i in range(FEATURES):
         for j in range(i + 1):
             spread = spread.withColumn(f"c{i}{j}", F.pow(F.col(f"s{i}") * 1.4826, 2) if i == j else F.lit(0.0))
     now = stored(_with_factor(spread.drop(*(f"s{i}" for i in range(FEATURES)))), "mcd-start")
     for _ in range(steps):
-        near = rows.join(now, by).withColumn("d", _distance())
-        limit = near.groupBy(by).agg(F.percentile_approx("d", F.lit(share), accuracy).alias("limit"))
-        core = rows.join(now.join(limit, by), by).withColumn("d", _distance()).where("d <= limit")
+        near = _beside(rows, now, by, many).withColumn("d", _distance())
+        limit = stored(near.groupBy(by).agg(F.percentile_approx("d", F.lit(share), accuracy).alias("limit")), "mcd-limit")
+        core = _beside(rows, now.join(limit, by), by, many).withColumn("d", _distance()).where("d <= limit")
         now = stored(_with_factor(_moments(core.select(by, *X), by)), "mcd-step")
-    scale = rows.join(now, by).withColumn("d", _distance()).groupBy(by).agg((half(F.col("d")) / CHI_MEDIAN).alias("scale"))
+    scale = _beside(rows, now, by, many).withColumn("d", _distance()).groupBy(by).agg((half(F.col("d")) / CHI_MEDIAN).alias("scale"))
     return stored(now.join(scale, by), "mcd")
 
 
+def _few(groups: DataFrame) -> DataFrame:
+    """A table of a row a group: broadcast if there are few; else joined as Spark sees fit, splitting what is skewed."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+
+
 def reject_outliers(docs: DataFrame, cutoff: float = CUTOFF, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, the base statistics, base_failed, distance (squared, scaled; null if it failed) and kept."""
     stats = vector(statistics(docs, id_col, text_col, (lang_col, source_col)))
@@ -128,9 +143,9 @@ def reject_outliers(docs: DataFrame, cutoff: float = CUTOFF, small: int = SMALL,
     good = rows.where(~F.col("base_failed"))
     sizes = stored(good.groupBy("own").agg(F.count("*").alias("n")), "outlier-groups")
     grouped = sizes.select("own", F.when(F.col("n") >= small, F.col("own")).otherwise("*").alias("g"))
-    placed = stored(good.join(grouped, "own").select("g", *X), "outlier-x")
+    placed = stored(good.join(_few(grouped), "own").select("g", *X), "outlier-x")
     fit = estimate(placed)
-    judged = rows.join(grouped, "own", "left").join(fit, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.greatest("scale", F.lit(1.0))))
+    judged = rows.join(_few(grouped), "own", "left").join(_few(fit), "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.greatest("scale", F.lit(1.0))))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
 
 
