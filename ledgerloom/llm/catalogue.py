@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, language, lines, mixing, neardup, outliers, packing, quality, warc
+from . import audio, contexts, language, lines, mixing, neardup, outliers, packing, quality, warc
 
 QUERIES = {
+    "op1_ctw": contexts.op1_ctw,
     "op2_lines": lines.op2_lines,
     "op3_warc": warc.op3_warc,
     "op4_pack": packing.op4_pack,
