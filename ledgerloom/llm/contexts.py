@@ -4,8 +4,9 @@ A text is the byte sequence of its words, A-Z lower-cased, with one space betwee
 before its start stand newlines. Bytes are decomposed into eight binary decisions, each with a context of up to
 `DEPTH` preceding bytes. Every node of the tree (context, bits of this byte so far) holds a Krichevsky-Trofimov
 estimate; bottom up, a node weighs its own estimate against its children's as in context-tree weighting, and a
-decision's probability mixes the estimates of all depths by these weights. A context that wasn't seen in
-training predicts 1/2, as an empty estimate does.
+decision's probability mixes the estimates of all depths by these weights. A node that no training text reached
+takes no part: the deepest node on the way that was reached has the rest of the weight, so that a context that
+is new at some depth is predicted from what is known of its nearer bytes.
 
 Counts come from all training texts. Documents are dealt to blocks of about `BLOCK_BYTES`; a block sends its
 distinct contexts with their counts, not its positions, to shards by the two nearest bytes. A shard sums the
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, stored
 
-DEPTH, BLOCK_BYTES, BLOCKS_A_SHARD = 5, 6 << 20, 8
+DEPTH, BLOCK_BYTES, BLOCKS_A_SHARD = 6, 6 << 20, 8
 END = 10
 _LGAMMA_HALF = 0.5 * log(np.pi)
 _table: list[np.ndarray] = []
@@ -59,18 +60,19 @@ def tokens(text: str | None) -> list[bytes]:
 def grams(texts: list[bytes]) -> np.ndarray:
     """For every byte of every text (all end with END) the key of its context and itself: from the top byte down
     the nearest preceding byte, the next nearest, ..., and last the byte."""
-    pad = bytes([END]) * DEPTH
-    x = np.frombuffer(b"".join(pad + t for t in texts), np.uint8).astype(np.uint64)
-    n = len(x) - DEPTH
-    key = np.zeros(max(n, 0), np.uint64)
-    for d in range(1, DEPTH + 1):
-        key |= x[DEPTH - d : DEPTH - d + n] << np.uint64(8 * (DEPTH + 1 - d))
-    key |= x[DEPTH:]
-    keep = np.ones(len(key), bool)
-    ends = np.cumsum([len(t) + DEPTH for t in texts])[:-1] - DEPTH
-    for d in range(DEPTH):  # positions of the next text's padding
-        keep[ends + d] = False
-    return key[keep]
+    pad = bytes([END]) * 7
+    x = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
+    v = np.lib.stride_tricks.as_strided(x, (max(len(x) - 7, 0), 8), (1, 1)).copy().view("<u8").ravel()  # the byte on top
+    byte = v >> np.uint64(56)
+    v <<= np.uint64(8)
+    v >>= np.uint64(8 * (8 - DEPTH))
+    v <<= np.uint64(8)
+    v |= byte
+    lengths = np.array([len(t) for t in texts])
+    ends = np.cumsum(lengths + 7)[:-1] - 7  # after each text but the last come the places of the next one's padding
+    keep = np.ones(len(v), bool)
+    keep[(ends[:, None] + np.arange(7)).ravel()] = False
+    return v[keep]
 
 
 def _squeeze(keys: np.ndarray) -> bytes:
@@ -140,24 +142,26 @@ class Tree:
         self.levels[depth] = (keys, counts, level, up)
         return logs
 
-    def bits(self) -> list[np.ndarray]:
-        """For each bit the probability of the byte's own bit for each key of depth DEPTH, mixed from `low` down."""
-        maps = {DEPTH: None}
-        at = None
+    def bits(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each bit and key of depth DEPTH the probability of the byte's own bit, mixed from depth `low` down,
+        and whether training reached the node of depth `low`."""
+        maps, at = {DEPTH: None}, None
         for depth in range(DEPTH - 1, self.low - 1, -1):
             up = self.levels[depth][3]
             at = up if at is None else up[at]
             maps[depth] = at
         out = []
         for bit in range(8):
-            p = None
+            p = seen = None
             for depth in range(DEPTH, self.low - 1, -1):
                 of, one, a, b, stop = self.levels[depth][2][bit]
                 node = of if maps[depth] is None else of[maps[depth]]
-                bit_one = one if maps[depth] is None else one[maps[depth]]
-                own = (np.where(bit_one == 1, b[node], a[node]) + 0.5) / (a[node] + b[node] + 1.0)
-                p = own if p is None else stop[node] * own + (1 - stop[node]) * p
-            out.append(p)
+                is_one = one if maps[depth] is None else one[maps[depth]]
+                n = a + b
+                own = (np.where(is_one == 1, b[node], a[node]) + 0.5) / (n[node] + 1.0)
+                p = own if p is None else np.where(seen, stop[node] * own + (1 - stop[node]) * p, own)
+                seen = n[node] > 0
+            out.append((p, seen))
         return out
 
 
@@ -169,27 +173,36 @@ class Root:
         stop1, p1, log1 = self._weigh(counts, below)
         stop0, p0, _ = self._weigh(counts.sum(0)[None], log1.sum(0)[None])
         self.stop1, self.p1, self.stop0, self.p0 = stop1, p1, stop0[0], p0[0]
+        self.seen1 = self._totals(counts)[:, :256] > 0
 
     @staticmethod
-    def _weigh(counts: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _totals(counts: np.ndarray) -> np.ndarray:
         n = np.zeros((len(counts), 512))
         n[:, 256:] = counts
         for node in range(255, 0, -1):
             n[:, node] = n[:, 2 * node] + n[:, 2 * node + 1]
+        return n
+
+    @classmethod
+    def _weigh(cls, counts: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = cls._totals(counts)
         a, b = n[:, 0:512:2][:, :256], n[:, 1:512:2][:, :256]  # of node k: n[2k], n[2k + 1]
         own = log_kt(a, b)
         mixed = np.logaddexp(own, below) - log(2)
         return np.exp(own - mixed) / 2, (b + 0.5) / (a + b + 1.0), mixed
 
-    def mix(self, keys: np.ndarray, deep: list[np.ndarray]) -> np.ndarray:
-        """Log10 of the probability of each key's byte, given the mixture of the deeper nodes for each bit."""
+    def mix(self, keys: np.ndarray, deep: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Log10 of the probability of each key's byte, given `Tree.bits`."""
         near, byte = (keys >> np.uint64(8 * DEPTH)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)
         total = np.zeros(len(keys))
         for bit in range(8):
             node, one = (256 | byte) >> (8 - bit), (byte >> (7 - bit)) & 1
             side = lambda p: np.where(one == 1, p, 1 - p)
-            p = self.stop1[near, node] * side(self.p1[near, node]) + (1 - self.stop1[near, node]) * deep[bit]
-            p = self.stop0[node] * side(self.p0[node]) + (1 - self.stop0[node]) * p
+            p, seen = deep[bit]
+            own, stop = side(self.p1[near, node]), self.stop1[near, node]
+            p = np.where(seen, stop * own + (1 - stop) * p, own)
+            own, stop = side(self.p0[node]), self.stop0[node]
+            p = np.where(self.seen1[near, node], stop * own + (1 - stop) * p, own)
             total += np.log10(p)
         return total
 
@@ -198,14 +211,23 @@ ROWS = "block bigint, kind string, shard int, keys binary, counts binary"
 _ROWS = pa.schema([("block", pa.int64()), ("kind", pa.string()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _block_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and for each position the index of its key."""
-    coded = pa.array(grams(texts)).dictionary_encode()
-    found = coded.dictionary.to_numpy()
-    order = np.argsort(found)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return found[order], rank[coded.indices.to_numpy()]
+def _distinct(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and how often each occurs."""
+    found = np.sort(found)
+    at = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+    return found[at], np.diff(at, append=len(found))
+
+
+def _sums(found: np.ndarray, lengths: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each text the sum of its positions' values, by key. Keys leave 8 bits for one of 256 texts, so that
+    positions are sorted as plain numbers and meet the sorted keys in order."""
+    out, upto = np.zeros(len(lengths)), np.concatenate([[0], np.cumsum(lengths)])
+    for lo in range(0, len(lengths), 256):
+        hi = min(len(lengths), lo + 256)
+        own = np.repeat(np.arange(hi - lo, dtype=np.uint64), lengths[lo:hi])
+        both = np.sort(found[upto[lo] : upto[hi]] << np.uint64(8) | own)
+        out[lo:hi] = np.bincount((both & np.uint64(255)).astype(np.int64), weights=values[np.searchsorted(keys, both >> np.uint64(8))], minlength=hi - lo)
+    return out
 
 
 def _block_words(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -233,20 +255,23 @@ def _gather(shards: int):
         _, held, texts = _open_block(rows)
         out = []
 
-        def send(kind: str, keys: np.ndarray, index: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> None:
-            train = np.repeat(~held, lengths)
-            counts = np.bincount(index[train], minlength=len(keys)).astype(np.uint32)
+        def send(kind: str, keys: np.ndarray, counts: np.ndarray, at: np.ndarray) -> None:
             order = np.argsort(at, kind="stable")
             edges = np.flatnonzero(np.diff(at[order], prepend=-1))
             for lo, hi in zip(edges, [*edges[1:], len(order)]):
                 pick = order[lo:hi]
                 out.append({"block": block, "kind": kind, "shard": int(at[pick[0]]), "keys": _squeeze(keys[pick]), "counts": _pack(counts[pick])})
 
-        keys, index = _block_grams(texts)
-        send("gram", keys, index, np.array([len(t) for t in texts]), shard_of(keys, shards))
+        found = grams(texts)
+        keys, _ = _distinct(found)
+        own, n = _distinct(found[np.repeat(~held, [len(t) for t in texts])])
+        counts = np.zeros(len(keys), np.uint32)
+        counts[np.searchsorted(keys, own)] = n
+        send("gram", keys, counts, shard_of(keys, shards))
         split = [t[:-1].split(b" ") if len(t) > 1 else [] for t in texts]
         keys, index = _block_words(split)
-        send("word", keys, index, np.array([len(s) + 1 for s in split]), ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64))
+        counts = np.bincount(index[np.repeat(~held, [len(s) + 1 for s in split])], minlength=len(keys)).astype(np.uint32)
+        send("word", keys, counts, ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64))
         return pa.Table.from_pylist(out, schema=_ROWS)
 
     return run
@@ -310,11 +335,9 @@ def _score(shards: int, n_train: int, n_distinct: int):
                 out[at == s] = _unpack(got[kind, int(s)], dtype)
             return out
 
-        keys, index = _block_grams(texts)
-        logs = values("gram", shard_of(keys, shards), "<f4").astype(float)[index]
-        n_bytes = np.array([len(t) for t in texts])
-        first = np.cumsum(n_bytes) - n_bytes
-        score = np.add.reduceat(logs, first)
+        found, n_bytes = grams(texts), np.array([len(t) for t in texts])
+        keys, _ = _distinct(found)
+        score = _sums(found, n_bytes, keys, values("gram", shard_of(keys, shards), "<f4").astype(float))
         split = [t[:-1].split(b" ") if len(t) > 1 else [] for t in texts]
         keys, index = _block_words(split)
         c = values("word", ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64), "<u4")[index].astype(float)

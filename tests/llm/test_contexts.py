@@ -51,6 +51,9 @@ class Brute:
                     own = ((b if one else a) + 0.5) / (a + b + 1)
                     stop = self.w[c, node][1]
                     p = own if p is None else stop * own + (1 - stop) * p
+                    if a + b == 0:
+                        p = None
+                p = 0.5 if p is None else p
                 total += math.log10(p)
         return total
 
