@@ -70,30 +70,30 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return placed.select("slot", "source_key", "epoch", "block", take.alias("take"))
 
 
-def placed_documents(docs: DataFrame, buckets: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+def placed_documents(docs: DataFrame, buckets: int, id_col: str, text_col: str, source_col: str, tag_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows with their first word's place in the shuffled run of their source, and the sources' targets.
 
     The running sum goes by buckets of the shuffled order, so that a source with most rows is still
     summed in many tasks: sums a bucket, then sums inside one."""
     key = F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1"))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("doc_id"), key.alias("source_key"), size.alias("size"), F.coalesce(row_hash(F.col(id_col)), F.lit("")).alias("order"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), key.alias("source_key"), size.alias("size"), F.coalesce(row_hash(F.col(id_col)), F.lit("")).alias("order"), (F.col(tag_col) if tag_col else F.lit(0)).cast("long").alias("tag"))
     sized = stored(sized.withColumn("bucket", (F.conv(F.substring("order", 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int")), "mix-sizes")
     sums = sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("own"))
     upto = W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     offsets = sums.withColumn("offset", F.sum("own").over(upto) - F.col("own")).select("source_key", "bucket", "offset")
-    inside = W.partitionBy("source_key", "bucket").orderBy("order", "size")
+    inside = W.partitionBy("source_key", "bucket").orderBy("order", "size", "tag")
     run = sized.withColumn("nth", F.row_number().over(inside)).withColumn("start", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     run = run.join(offsets, ["source_key", "bucket"]).withColumn("start", F.col("start") + F.col("offset"))
-    return run.select("doc_id", "source_key", "bucket", "nth", "size", "start"), stored(source_targets(sized), "mix-targets")
+    return run.select("doc_id", "tag", "source_key", "bucket", "nth", "size", "start"), stored(source_targets(sized), "mix-targets")
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, taken_first, taken_second: one row for each row of docs.
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tag_col: str | None = None) -> DataFrame:
+    """doc_id, tag, size, source_size, target, taken, taken_first, taken_second: one row for each row of docs.
 
     taken_first and taken_second are the words of the first and second pass over the source; either is a
-    prefix of the document's words."""
-    run, targets = placed_documents(docs, buckets, id_col, text_col, source_col)
+    prefix of the document's words. `tag` is the number in `tag_col`, by which a caller tells rows apart."""
+    run, targets = placed_documents(docs, buckets, id_col, text_col, source_col, tag_col)
     run = stored(run, "mix-run")
     block = F.lit(block_words)
     parts = run.where("size > 0").select("source_key", "bucket", "nth", "start", "size", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("block"))
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = 1024, id
     none = F.lit(0).cast("long")
     full = run.join(taken, ["source_key", "bucket", "nth"], "left").join(targets.select("source_key", "source_size", "target"), "source_key")
     first, second = F.coalesce("taken_first", none), F.coalesce("taken_second", none)
-    return full.select("doc_id", "size", "source_size", "target", (first + second).alias("taken"), first.alias("taken_first"), second.alias("taken_second"))
+    return full.select("doc_id", "tag", "size", "source_size", "target", (first + second).alias("taken"), first.alias("taken_first"), second.alias("taken_second"))
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:
