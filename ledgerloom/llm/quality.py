@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import fold, row_hash
 
-TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, SEED = 4000, 6000, 14, 64, 7
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, SEED = 3000, 6000, 8, 64, 7
 BLOCK, GROUP, FILTERS, TAPS, HIDDEN = 64, 4, 16, 8, 12
 LAGS = range(3, 17)
 KINDS = 12
