@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-WORDS, TREES, PER_TREE, DEPTHS, REGION = 5, 20, 6, (3, 6, 12), 32
+WORDS, TREES, PER_TREE, DEPTHS, REGION, BROADCAST_ROWS = 5, 20, 6, (3, 6, 12), 32, 300_000
 VALUES = TREES * PER_TREE
 #: A link needs PART * |intersection| >= WHOLE * |union|.
 PART, WHOLE = 100, 75
@@ -101,23 +101,24 @@ def prefixes(values: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-SETS = "doc_id bigint, node bigint, n_shingles bigint, k0 array<bigint>, k1 array<bigint>, k2 array<bigint>, sketch binary, words binary"
-_SETS = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), *((f"k{i}", pa.list_(pa.int64())) for i in range(3)), ("sketch", pa.binary()), ("words", pa.binary())])
+SETS = "doc_id bigint, node bigint, n_shingles bigint, k0 array<bigint>, k1 array<bigint>, k2 array<bigint>, sketch binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), *((f"k{i}", pa.list_(pa.int64())) for i in range(3)), ("sketch", pa.binary())])
+
+
+def node_of(found: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    small = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         out: list[tuple] = []
         for doc, text in zip(batch["doc_id"], batch["text"]):
-            words = normal(text.as_py())
-            found = shingles(words)
+            found = shingles(normal(text.as_py()))
             if len(found):
                 values = signature(found)
-                node = xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63
-                out.append((doc.as_py(), node, len(found), *prefixes(values), (values & 255).astype(np.uint8).tobytes(), small.compress(words)))
+                out.append((doc.as_py(), node_of(found), len(found), *prefixes(values), (values & 255).astype(np.uint8).tobytes()))
             else:
-                out.append((doc.as_py(), None, 0, None, None, None, None, None))
+                out.append((doc.as_py(), None, 0, None, None, None, None))
             if len(out) == 1000:
                 yield _rows(out)
                 out = []
@@ -129,6 +130,17 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SETS)], schema=_SETS)
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Normal texts, compressed, of the rows whose set is the node that is asked for."""
+    small = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            nodes, words = part["node"].to_pylist(), [normal(t) for t in part["text"].to_pylist()]
+            good = [(n, small.compress(w)) for n, w in zip(nodes, words) if w and node_of(shingles(w)) == n]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.binary())], names=["node", "words"])
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
     """Distinct pairs a < b of the forest's neighbours."""
     pairs, open_ = [], None
@@ -225,7 +237,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(first, "near-nodes")
     pairs = stored(likely(candidates(nodes), nodes), "near-likely")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(owners, "node")
-    texts = stored(sets.select("node", own, "words").join(wanted, ["node", "own"], "left_semi").dropDuplicates(["node"]), "near-texts")
+    wanted = stored(wanted, "near-wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)  # else texts are shuffled by id
+    texts = stored(rows.select(own, "text").join(wanted, "own").select("node", "text").mapInArrow(_named, "node bigint, words binary").dropDuplicates(["node"]), "near-texts")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("match", "a")).alias("a"))
     sure = confirmed(best.select("a", "b"), texts)
     trees = components(sure)
