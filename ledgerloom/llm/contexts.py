@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, stored
 
-DEPTH, BLOCK_BYTES, BLOCKS_A_SHARD = 6, 6 << 20, 8
+DEPTH, BLOCK_BYTES, BLOCKS_A_SHARD = 5, 6 << 20, 6
 END = 10
 _LGAMMA_HALF = 0.5 * log(np.pi)
 _table: list[np.ndarray] = []
@@ -351,7 +351,7 @@ def _score(shards: int, n_train: int, n_distinct: int):
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    small = zstandard.ZstdCompressor(level=1)
+    small = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
