@@ -94,10 +94,11 @@ def phrases(table: np.ndarray, strips: np.ndarray, lengths: np.ndarray) -> np.nd
         c = strips[i, :n]
         to = flat[state[:n] * width + c]
         fail = np.flatnonzero(to == 0)
-        count[fail] += 1
-        to[fail] = flat[c[fail]]  # the byte opens the next phrase, from the root
+        count[fail] += state[fail] > 0  # the phrase that was open ends
+        to[fail] = flat[c[fail]]  # the byte opens the next one, from the root
+        count[fail] += to[fail] == 0  # or, if the sample lacks it, is one
         state[:n] = to
-    return count + (lengths > 0)
+    return count + (state > 0)
 
 
 def parse(tables: list[np.ndarray], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

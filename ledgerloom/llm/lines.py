@@ -221,13 +221,13 @@ class LineIndex:
     def rewrite(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """docs with the text rewritten, plus n_lines and n_dropped."""
         docs = docs.drop("n_lines", "n_dropped")
-        gone = self.doomed().select(F.col("doc_id").alias("__id"), "gone")
+        gone = self.doomed().select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
         lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
         joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
         zipped = F.arrays_zip(lines.alias("line"), self.keys(F.col(text_col)).alias("key"))
-        kept = F.when(F.col("gone").isNotNull(), F.transform(F.filter(zipped, lambda x: x["key"].isNull() | ~F.array_contains(F.col("gone"), x["key"])), lambda x: x["line"]))
+        kept = F.when(F.col("__gone").isNotNull(), F.transform(F.filter(zipped, lambda x: x["key"].isNull() | ~F.array_contains(F.col("__gone"), x["key"])), lambda x: x["line"]))
         out = joined.withColumn("__kept", kept).withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("__kept"), F.lit(0).cast("long")))
-        return out.withColumn(text_col, F.when(F.col("gone").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(F.array_join("__kept", "\n"))).drop("__kept", "__id", "gone")
+        return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(F.array_join("__kept", "\n"))).drop("__kept", "__id", "__gone")
 
 
 def _counted(postings: DataFrame) -> DataFrame:

@@ -125,12 +125,14 @@ def gradient(net: Net, at: Layout, labels: np.ndarray) -> list[np.ndarray]:
     dw1, db1 = z.T @ da, da.sum(0)
     dz = da @ net.w1.T
     owner = np.repeat(np.arange(len(at.units)), at.units)
-    dchunk = (dz[:, :FILTERS] / at.chunks[:, None])[owner] + np.where(chunk == most[owner], dz[:, FILTERS:][owner], 0)
+    best = (chunk == most[owner]) & at.chunk[:, None]  # equal ones share what comes back
+    dchunk = (dz[:, :FILTERS] / at.chunks[:, None])[owner] + best * (dz[:, FILTERS:] / np.add.reduceat(best, at.first, axis=0, dtype=np.int64))[owner]
     dchunk *= at.chunk[:, None]
-    dtop = np.where(top >= after, dchunk, 0)
+    dtop = np.where(top > after, dchunk, np.where(top == after, dchunk / 2, 0))
     dafter = dchunk - dtop
     dtop[1:] += dafter[:-1]
-    dgroups = np.where(groups == top[:, None, :], dtop[:, None, :], 0)
+    best = groups == top[:, None, :]
+    dgroups = best * (dtop / best.sum(1))[:, None, :]
     dblocks = dgroups.reshape(-1, FILTERS) * at.held
     dh = np.repeat(dblocks / (BLOCK // 2), BLOCK // 2, axis=0)
     dh *= h > 0
