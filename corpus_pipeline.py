@@ -13,7 +13,7 @@ is cut after the words taken, which joins them by single spaces. Columns beside
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import common, lines, mixing, neardup, packing, quality
@@ -32,23 +32,35 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+NO_ID = -(2**63)
+
+
+def _key(c: str = "doc_id") -> Column:
+    return F.coalesce(F.col(c), F.lit(NO_ID)).alias("__key")
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of rows that repeat an id and text one stays."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("k")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """The document with the smallest id of each group; of rows that repeat an id and text one stays. Texts move once,
+    by their ids: the repeats are found where the join has put them."""
+    kept = neardup.near_duplicates(docs).where("kept").select(_key()).distinct()
+    rows = docs.select(*COLUMNS, _key(), F.xxhash64("text").alias("__text")).join(kept, "__key", "left_semi")
+    before = F.lag("__text").over(Window.partitionBy("__key").orderBy("__text"))
+    return rows.withColumn("__before", before).where("__before is null or __before != __text").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Rows that share an id and a text have equal sizes and may trade places; those that share the id alone are
-    # told apart by their text's hash.
-    tagged = docs.select(*COLUMNS, F.xxhash64("text").alias("__text"))
-    parts = mixing.mix(tagged, tag_col="__text")
-    passes = parts.select("doc_id", "size", F.col("tag").alias("__text"), F.explode(F.array("taken_first", "taken_second")).alias("take")).where("take > 0")
-    rows = tagged.dropDuplicates(["doc_id", "__text"]).withColumnRenamed("doc_id", "__id")
-    both = passes.join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & passes["__text"].eqNullSafe(rows["__text"]))
+    """Rows that share an id are told apart by their texts' hashes, and those that share both by a number."""
+    tagged = docs.select(*COLUMNS, _key(), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("__text"))
+    same = Window.partitionBy("__key", "__text")
+    rows = tagged.withColumn("__nth", F.row_number().over(same.orderBy("source", "lang", "n_chars")))
+    parts = mixing.mix(tagged, tag_col="__text").select(_key(), F.col("tag").alias("__text"), "size", "taken_first", "taken_second")
+    parts = parts.withColumn("__part", F.row_number().over(same.orderBy("taken_first", "taken_second")))
+    # Both sides lie by key and text already; equal numbers are asked for in a form that doesn't deal them anew.
+    both = rows.join(parts, ["__key", "__text"]).where("__nth >= __part and __nth <= __part")
+    taken = both.select(*COLUMNS, "size", F.explode(F.array("taken_first", "taken_second")).alias("take")).where("take > 0")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("take") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("take").cast("int")), " "))
-    return both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return taken.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
