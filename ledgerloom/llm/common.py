@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns Arrow's unused memory to the system: a worker that ended a batch keeps it else, beside its executor."""
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lowered(text: Column) -> Column:
     """Lower-cases A-Z alone; texts in ASCII take the faster function."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import give_back, stored
 
 WORDS, TREES, PER_TREE, DEPTHS, REGION, BROADCAST_ROWS = 5, 20, 6, (3, 6, 12), 32, 300_000
 VALUES = TREES * PER_TREE
@@ -124,6 +124,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out = []
         if out:
             yield _rows(out)
+        give_back()
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:

@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import give_back, stored
 
 WINDOW, END_ID, BUCKETS, SLACK, BROADCAST_ROWS = 2048, 1, 256, 4, 500_000
-CACHED_WORDS = 600_000  # a worker forgets its words beyond this many
+YOUNG_WORDS = 250_000
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 PIECES = "doc_id bigint, text_hash bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -38,22 +38,30 @@ _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
 
 class Words(dict):
-    """Ids by word, as little-endian unsigned 32-bit numbers, found when a word is first asked for."""
+    """Ids by word, as little-endian unsigned 32-bit numbers, found when a word is first asked for. Two generations:
+    when the young one is full it becomes the old one, from which words that are asked for again come back."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
 
     def __missing__(self, word: bytes) -> bytes:
-        # A sign after an ASCII letter or digit is a token of its own, and most words come with several signs.
-        if len(word) > 1 and word[-1] in b".,;:!?" and word[-2] in ALNUM:
-            ids = self[word[:-1]] + self[word[-1:]]
-        else:
+        ids = self.old.get(word)
+        if ids is None:
+            # A sign after an ASCII letter or digit is a token of its own. Most words come with several signs, so
+            # that words with one aren't kept.
+            if len(word) > 1 and word[-1] in b".,;:!?" and word[-2] in ALNUM:
+                return self[word[:-1]] + self[word[-1:]]
             ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > YOUNG_WORDS:
+            self.old = dict(self)
+            self.clear()
+
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers.
@@ -66,8 +74,7 @@ class Encoder:
         self.words = Words(path)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
+        self.words.age()
         end, get = np.array([END_ID], "<u4").tobytes(), self.words.__getitem__
         for t in texts:
             yield b"".join(map(get, (t or "").encode().lower().split())) + end
@@ -82,7 +89,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, rows: int = 500, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that hold few rows and, but for single rows, few bytes."""
     at, held = 0, 0
     for i, n in enumerate(pa.compute.binary_length(batch["text"]).to_pylist()):
@@ -104,6 +111,7 @@ def _pieces(path: str, window: int):
                     n = len(ids) // 4
                     out += [(doc, h, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=_ARROW)
+            give_back()
 
     return run
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, row_hash
+from .common import fold, give_back, row_hash
 
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, SEED = 3000, 6000, 8, 64, 7
 BLOCK, GROUP, FILTERS, TAPS, HIDDEN = 64, 4, 16, 8, 12
@@ -202,10 +202,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(fit([bytes(r["b"]) for r in found], y), float(y.mean()))
 
 
-def _parts(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _parts(sizes: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     at, held = 0, 0
     for i, n in enumerate(sizes):
-        if i > at and (held + n > most or i - at == 2000):
+        if i > at and (held + n > most or i - at == 500):
             yield at, i
             at, held = i, 0
         held += int(n)
@@ -227,6 +227,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", as_col: str = "
                 part = whole.slice(lo, hi - lo)
                 found = own.scores([(t or "").encode() for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, as_col])
+            give_back()
 
     return docs.mapInArrow(run, schema)
 
