@@ -164,7 +164,8 @@ TERMS = ["the", "tion", "que", "und", "ing", "ent"]
 @query(f"SELECT doc_id, round(CASE WHEN lang = 'en' THEN 0.18 WHEN lang <> '' THEN -0.05 ELSE 0 END + least(0.18, 0.04 * len(list_filter({TERMS!r}, lambda x: contains('thetionundque', x) AND contains(regexp_replace(text, '\\s+', '', 'g'), x)))), 6) AS score FROM documents")
 def rule_score(spark, sf):
     d = t(spark, sf, "documents")
-    s = S.rule_score(F.array(F.lit("en")), F.lit("the tion und que"), F.coalesce("lang", F.lit("")), F.col("text"), TERMS)
+    d = d.withColumn("asked", S.query_terms(F.lit("the tion und que"), TERMS)).withColumn("body", X.squeeze("text"))
+    s = S.rule_score(F.array(F.lit("en")), F.col("asked"), F.coalesce("lang", F.lit("")), F.col("body"))
     return d.select("doc_id", F.round(s, 6).alias("score"))
 
 

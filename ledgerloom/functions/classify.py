@@ -25,16 +25,18 @@ def has(c: Column, terms: list[str]) -> Column:
 def statement_type(section: Column, body: Column, table: dict[str, list[str]] = rules.STATEMENT_RULES, least: int = 2) -> Column:
     """A keyword in the section decides; else the type with most keywords in section and body, `least` of them,
     the first type winning a tie."""
-    head, both = X.squeeze(section), X.squeeze(F.concat_ws("\n", section, body))
-    hits = {name: X.count_in(both, words) for name, words in table.items()}
-    top = F.greatest(*hits.values())
-    return first_match([*((has(head, words), name) for name, words in table.items()), (top < least, ""), *((n == top, name) for name, n in hits.items())])
+    def by_body(both: Column) -> Column:
+        hits = F.array(*(F.struct(X.count_in(both, words).alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, words) in enumerate(table.items())))
+        return X.let(F.array_max(hits), lambda best: F.when(best["n"] >= least, best["name"]).otherwise(""))
+
+    by_section = X.let(X.squeeze(section), lambda head: first_match([(has(head, words), name) for name, words in table.items()]))
+    return X.let(by_section, lambda found: F.when(found != "", found).otherwise(X.let(X.squeeze(F.concat_ws("\n", section, body)), by_body)))
 
 
 def metric_terms(section: Column, body: Column, terms: list[str] = rules.METRIC_TERMS, labels: dict[str, str] = rules.STATEMENT_LABELS, table: dict[str, list[str]] = rules.STATEMENT_RULES) -> Column:
     """The terms in section and body, after the statement's label, joined by spaces."""
-    label = first_match([(statement_type(section, body, table) == k, v) for k, v in labels.items()])
-    found = F.concat(F.array(label), X.terms_in(X.squeeze(F.concat_ws("\n", section, body)), terms))
+    label = X.let(statement_type(section, body, table), lambda s: first_match([(s == k, v) for k, v in labels.items()]))
+    found = F.concat(F.array(label), X.let(X.squeeze(F.concat_ws("\n", section, body)), lambda both: X.terms_in(both, terms)))
     return F.array_join(F.array_distinct(F.filter(found, lambda t: t != "")), " ")
 
 

@@ -64,7 +64,7 @@ def first_number(row: Column, number: str = rules.NUMBER) -> Column:
 def metric_value(body: Column, metric: str, aliases: dict[str, list[str]] = rules.EVIDENCE_ALIASES, negative: list[str] = rules.NEGATIVE_HINTS, window: int = 220, near: int = 100) -> Column:
     """The number in the first row about the metric; else the first one within `window` characters after an alias
     that no negative hint follows within `near`."""
-    rows = F.filter(F.transform(F.filter(rows_of(body), lambda r: metric_row(r, metric, aliases, negative)), first_number), lambda v: v != "")
+    rows = F.filter(F.transform(F.filter(rows_of(body), lambda r: metric_row(r, metric, aliases, negative)), lambda r: first_number(r)), lambda v: v != "")
     after = []
     for a in aliases.get(metric, [metric]):
         at = F.locate(a.lower(), F.lower(body))

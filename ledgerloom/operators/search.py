@@ -91,25 +91,30 @@ def freshness(date: Column | str, weight: Column, config: SearchConfig) -> Colum
     """exp(-age in days / decay) times the weight of the kind; no date gives 0, a date to come has age 0."""
     if not config.freshness_weight:
         return F.lit(0.0)
-    age = F.greatest(F.datediff(F.lit(config.as_of).cast("date"), X.parsed_date(date)), F.lit(0))
-    return F.coalesce(F.exp(-age / F.lit(max(1.0, config.decay_days))) * weight, F.lit(0.0))
+    days = F.datediff(F.lit(config.as_of).cast("date"), X.parsed_date(date))
+    return F.when(days.isNotNull(), F.exp(-F.greatest(days, F.lit(0)) / F.lit(max(1.0, config.decay_days))) * weight).otherwise(0.0)
 
 
-def rule_score(statement_hints: Column, query: Column, statement: Column, body: Column, terms: list[str] = rules.METRIC_TERMS) -> Column:
-    """Agreement of the statement type, and of metric terms that question and chunk share."""
+def query_terms(query: Column, terms: list[str] = rules.METRIC_TERMS) -> Column:
+    """The terms that a question has, whatever its spaces."""
+    return X.let(X.squeeze(query), lambda q: X.terms_in(q, terms))
+
+
+def rule_score(statement_hints: Column, asked: Column, statement: Column, body: Column) -> Column:
+    """Agreement of the statement type, and the share of the question's metric terms that the chunk has. `statement` is
+    looked at several times: give a column that's computed."""
     agree = F.when(F.size(statement_hints) == 0, 0.0).when(F.array_contains(statement_hints, statement), 0.18).when(statement != "", -0.05).otherwise(0.0)
-    q, t = X.squeeze(query), X.squeeze(body)
-    shared = F.size(F.filter(F.array(*map(F.lit, terms)), lambda x: F.contains(q, x) & F.contains(t, x)))
-    return agree + F.least(F.lit(0.18), shared * 0.04)
+    return agree + F.least(F.lit(0.18), F.size(F.filter(asked, lambda x: F.contains(body, x))) * 0.04)
 
 
 def expanded(questions: DataFrame, expansions: dict[str, str] = rules.QUERY_EXPANSIONS, statements: dict[str, list[str]] = rules.STATEMENT_RULES, terms: list[str] = rules.METRIC_TERMS, enabled: bool = True) -> DataFrame:
     """Adds retrieval_query, statement_hints and metric_hints to (question_id, question)."""
-    compact = X.squeeze("question")
+    questions = questions.withColumn("__compact", X.squeeze("question"))
+    compact = F.col("__compact")
     parts = F.array_compact(F.array(X.strip("question"), *(F.when(compact.contains(k), F.lit(v)) for k, v in expansions.items())))
     query = F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), " ") if enabled else F.col("question")
     hints = F.array_compact(F.array(*(F.when(C.has(compact, words), F.lit(name)) for name, words in statements.items())))
-    return questions.withColumns({"retrieval_query": query, "statement_hints": hints, "metric_hints": X.terms_in(compact, terms)})
+    return questions.withColumns({"retrieval_query": query, "statement_hints": hints, "metric_hints": X.terms_in(compact, terms)}).drop("__compact")
 
 
 def final_score(config: SearchConfig, dense_col: Column, dense_rank: Column, sparse_rank: Column, fresh: Column, authority: Column, rule: Column) -> Column:
@@ -148,7 +153,7 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, config:
 
     Filters go to both scans; BM25's corpus numbers are those before the filters. Chunks are read again by the few
     candidates' ids for the columns that scores need."""
-    plan = expanded(questions, terms=terms).withColumn("terms", X.search_terms("retrieval_query"))
+    plan = expanded(questions, terms=terms).withColumn("terms", X.search_terms("retrieval_query")).withColumn("query_terms", query_terms(F.col("retrieval_query"), terms))
     allowed = metadata_filter(chunks, config.filters).select(F.col("chunk_id").alias("id"))
     sparse = bm25(chunks, plan, config=config)
     near = dense(vectors, plan)
@@ -158,10 +163,12 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, config:
     columns = [c for c in ("source_pdf", "source_id", "section", "statement_type", "metric_terms", "doc_type", "report_type", "publish_date", "source_authority_score", "display_text", "text") if c in chunks.columns]
     rows = hydrated(found, chunks, columns)
     have = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in columns else F.lit("")
-    body = X.first_of(have("display_text"), have("text"))
-    statement = X.first_of(have("statement_type"), C.statement_type(have("section"), body))
-    rows = rows.join(F.broadcast(plan.select("question_id", "retrieval_query", "statement_hints")), "question_id")
-    rule = rule_score(F.col("statement_hints"), F.col("retrieval_query"), statement, F.concat_ws(" ", have("section"), have("metric_terms"), body), terms)
+    rows = rows.join(F.broadcast(plan.select("question_id", "statement_hints", "query_terms")), "question_id")
+    rows = rows.withColumn("__body", X.first_of(have("display_text"), have("text")))
+    # A statement type is inferred where a question asks for one and the chunk has none.
+    inferred = F.when((F.size("statement_hints") > 0) & (have("statement_type") == ""), C.statement_type(have("section"), F.col("__body"))).otherwise(have("statement_type"))
+    rows = rows.withColumn("__statement", inferred).withColumn("__all", F.when(F.size("query_terms") > 0, X.squeeze(F.concat_ws(" ", have("section"), have("metric_terms"), "__body"))).otherwise(""))
+    rule = rule_score(F.col("statement_hints"), F.col("query_terms"), F.col("__statement"), F.col("__all"))
     fresh = freshness(have("publish_date"), C.freshness_weight(have("doc_type"), have("report_type")), config)
     authority = F.col("source_authority_score") if "source_authority_score" in columns else F.lit(1.0)
     scored = rows.withColumn("final", final_score(config, F.col("dense"), F.col("dense_rank"), F.col("sparse_rank"), fresh, authority, rule))
