@@ -37,7 +37,7 @@ def asked(spark, rows=ASKED):
     return spark.createDataFrame(rows, "question_id long, question string").withColumn("terms", X.search_terms("question"))
 
 
-@query(f"WITH q AS (SELECT * FROM {values(ASKED, ['question_id', 'question'])}), {BM25_SQL} SELECT question_id, id, round(score, 6) AS bm25, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm25) WHERE rank <= 20")
+@query(f"WITH q AS (SELECT * FROM {values(ASKED, ['question_id', 'question'])}), {BM25_SQL} SELECT CAST(question_id AS BIGINT) AS question_id, id, round(score, 6) AS bm25, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm25) WHERE rank <= 20")
 def bm25_topk(spark, sf):
     hits = S.bm25(chunks(spark, sf), asked(spark)).withColumn("s", F.round("bm25", 9))
     return S.ranked(hits, "s", "rank", 20).select("question_id", "id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
@@ -65,7 +65,7 @@ HYBRID = SearchConfig(top_k=10, candidate_k=50, per_source_limit=2, freshness_we
 sp AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM bm25 QUALIFY r <= 60),
 de AS (SELECT vec_id AS id, list_inner_product(CAST(embedding AS DOUBLE[]), v) AS score, row_number() OVER (ORDER BY list_inner_product(CAST(embedding AS DOUBLE[]), v) DESC, vec_id) AS r FROM embeddings, {Q0} QUALIFY r <= 80),
 m AS (SELECT coalesce(de.id, sp.id) AS id, coalesce(de.score, 0) AS dense, coalesce(1.0 / (60 + de.r), 0) + coalesce(1.0 / (60 + sp.r), 0) AS rrf, de.r AS dr, sp.r AS sr FROM de FULL JOIN sp ON de.id = sp.id),
-f AS (SELECT m.*, d.source, m.dense + m.rrf + 0.05 AS final FROM m JOIN documents d ON d.doc_id = m.id),
+f AS (SELECT m.*, coalesce(d.source, '') AS source, m.dense + m.rrf + 0.05 AS final FROM m LEFT JOIN documents d ON d.doc_id = m.id),
 c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY final DESC, id) AS sr2 FROM f)
 SELECT 1::BIGINT AS question_id, id, CAST(row_number() OVER (ORDER BY final DESC, id) AS BIGINT) AS rank, round(final, 6) AS final,
   array_to_string(list_filter([CASE WHEN dr IS NOT NULL THEN 'dense' END, CASE WHEN sr IS NOT NULL THEN 'sparse' END], lambda x: x IS NOT NULL), '+') AS found_by
@@ -126,7 +126,7 @@ h AS (SELECT b.question_id, b.id, i.source, i.text, i.doc_score, q0.focus, row_n
 s AS (SELECT q0.question_id, i.id, i.source, i.text, i.doc_score, q0.focus, row_number() OVER (PARTITION BY q0.question_id ORDER BY i.id) AS place FROM q0, i WHERE q0.question_id NOT IN (SELECT question_id FROM h) AND contains(lower(i.text), lower(q0.focus)) QUALIFY place <= 24),
 e AS (SELECT * FROM h UNION ALL SELECT * FROM s),
 f AS (SELECT *, 1.0 / place + CASE WHEN focus <> '' AND contains(substr(text, 1, 1000), focus) THEN 0.3 ELSE 0 END + 0.1 * doc_score AS score FROM e)
-SELECT question_id, id AS chunk_id, source AS source_pdf, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, id) AS BIGINT) AS rank FROM f QUALIFY rank <= 6"""
+SELECT CAST(question_id AS BIGINT) AS question_id, id AS chunk_id, source AS source_pdf, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, id) AS BIGINT) AS rank FROM f QUALIFY rank <= 6"""
 )
 def multistage_recall(spark, sf):
     c = chunks(spark, sf)
@@ -161,7 +161,7 @@ def freshness_decay(spark, sf):
 TERMS = ["the", "tion", "que", "und", "ing", "ent"]
 
 
-@query(f"SELECT doc_id, round(CASE WHEN lang = 'en' THEN 0.18 WHEN lang <> '' THEN -0.05 ELSE 0 END + least(0.18, 0.04 * len(list_filter({TERMS!r}, lambda x: contains('thetionundque', x) AND contains(regexp_replace(text, '\\s+', '', 'g'), x)))), 6) AS score FROM documents")
+@query(f"SELECT doc_id, round(CAST(CASE WHEN lang = 'en' THEN 0.18 WHEN lang <> '' THEN -0.05 ELSE 0 END + least(0.18, 0.04 * len(list_filter({TERMS!r}, lambda x: contains('thetionundque', x) AND contains(regexp_replace(text, '\\s+', '', 'g'), x)))) AS DOUBLE), 6) AS score FROM documents")
 def rule_score(spark, sf):
     d = t(spark, sf, "documents")
     d = d.withColumn("asked", S.query_terms(F.lit("the tion und que"), TERMS)).withColumn("body", X.squeeze("text"))

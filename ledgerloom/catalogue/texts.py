@@ -148,7 +148,7 @@ def heading_detect(spark, sf):
 
 
 @query(
-    "SELECT lang, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM (SELECT lang, doc_id, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS rank FROM (SELECT lang, doc_id, text, coalesce(nullif(quality, 0) * 0.5, 0) + CASE WHEN contains(text, 'the') OR contains(text, 'The') THEN 0.25 ELSE 0 END + CASE WHEN source <> '' THEN 0.05 ELSE 0 END + CASE WHEN source = 'src3' THEN 0.05 ELSE 0 END AS score, row_number() OVER (PARTITION BY lang, substr(text, 1, 200) ORDER BY doc_id) AS n FROM documents LEFT JOIN labels USING (doc_id)) WHERE n = 1) WHERE rank <= 8"
+    "SELECT lang, doc_id, CAST(rank AS BIGINT) AS rank, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT lang, doc_id, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS rank FROM (SELECT lang, doc_id, text, coalesce(nullif(quality, 0) * 0.5, 0) + CASE WHEN contains(text, 'the') OR contains(text, 'The') THEN 0.25 ELSE 0 END + CASE WHEN source <> '' THEN 0.05 ELSE 0 END + CASE WHEN source = 'src3' THEN 0.05 ELSE 0 END AS score, row_number() OVER (PARTITION BY lang, substr(text, 1, 200) ORDER BY doc_id) AS n FROM documents LEFT JOIN labels USING (doc_id)) WHERE n = 1) WHERE rank <= 8"
 )
 def evidence_rank_top8(spark, sf):
     d = t(spark, sf, "documents").join(t(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
