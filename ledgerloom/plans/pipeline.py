@@ -14,8 +14,12 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import SearchConfig
 from ..operators import evidence as E
 from ..operators import facts as Facts
+from ..operators import recall as R
+from ..operators import search as S
+from . import route as P
 
 #: question_id, source_name, content, citation, chunk_id, score: what a source gives for questions.
 EVIDENCE = "question_id bigint, source_name string, content string, citation string, chunk_id string, score double"
@@ -97,3 +101,31 @@ def saved(run: Run, path: str, name: str) -> None:
     """Tables of a run, a folder each."""
     for part in ("evidence", "context", "answers", "checks"):
         getattr(run, part).write.mode("overwrite").json(f"{path}/{name}/{part}")
+
+
+def filings_source(chunks: DataFrame, vectors: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, limit: int = 8, config: SearchConfig = SearchConfig()) -> Source:
+    """Filings for questions: chunks of recalled documents, and for questions without any, hybrid search if there are
+    vectors and a function that adds `vector` to questions."""
+    def run(asked: DataFrame) -> DataFrame:
+        docs = R.top_documents(R.documents(R.question_filter(chunks), ["publish_date"]), limit)
+        subs = asked.select("question_id", "question", F.lit("main").alias("focus"))
+        body = chunks.select(F.col("chunk_id").alias("id"), F.col("text").alias("content"), F.col("source_pdf").alias("citation"))
+        staged = R.multistage(chunks, docs, subs, search_config=config).select("question_id", F.col("chunk_id").alias("id"), "score")
+        if vectors is not None and embed is not None:
+            rest = embed(asked.join(staged.select("question_id").distinct(), "question_id", "left_anti"))
+            staged = staged.unionByName(S.hybrid(chunks, vectors, rest, config).select("question_id", "id", F.col("final").alias("score")))
+        return staged.join(body, "id").select("question_id", "content", "citation", F.col("id").cast("string").alias("chunk_id"), "score")
+
+    return run
+
+
+def market_source(payloads: DataFrame, symbol: str = "symbol") -> Source:
+    """Market data for questions with a symbol column, from recorded payloads (tool, symbol, payload): the routed tool's,
+    or the first of its fallbacks that has one."""
+    def run(asked: DataFrame) -> DataFrame:
+        routed = asked.select("question_id", P.route(F.col("question"), F.col(symbol)).alias("route"))
+        got = P.first_payload(P.calls(routed), payloads)
+        text = F.concat_ws("\n", F.concat_ws(" ", "tool", "symbol"), F.nullif(P.headline(P.valuation(F.col("payload"))), F.lit("")), F.col("payload"))
+        return got.select("question_id", text.alias("content"), F.concat_ws("/", "tool", "symbol").alias("citation"), F.lit("").alias("chunk_id"), F.lit(0.85).alias("score"))
+
+    return run

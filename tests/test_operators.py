@@ -279,3 +279,14 @@ def test_stream_takes_files_once(spark, tmp_path):
     go()
     rows = spark.read.option("recursiveFileLookup", "true").parquet(target).select("k", "v").collect()
     assert sorted(map(tuple, rows)) == [(1, "a"), (2, "c"), (3, "e")]
+
+
+def test_sources_for_questions(spark):
+    chunks = spark.createDataFrame([(1, "a.pdf", "revenue grew", "2025-01-01", 1.0), (2, "b.pdf", "costs fell", "2024-01-01", 0.5)], "chunk_id int, source_pdf string, text string, publish_date string, source_authority_score double")
+    q = spark.createDataFrame([(1, "how did revenue do", ""), (2, "zzz", "AAPL")], "question_id int, question string, symbol string")
+    vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "chunk_id int, embedding array<double>")
+    embed = lambda asked: asked.withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
+    rows = Pipe.filings_source(chunks, vectors, embed, config=SearchConfig(top_k=1))(q).collect()
+    assert {(r.question_id, r.citation) for r in rows} == {(1, "a.pdf"), (2, "b.pdf")}
+    payloads = spark.createDataFrame([("stock_price", "AAPL", '{"c": 1}')], "tool string, symbol string, payload string")
+    assert [(r.question_id, r.citation) for r in Pipe.market_source(payloads)(q).collect()] == [(2, "stock_price/AAPL")]
