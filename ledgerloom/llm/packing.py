@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import give_back, stored
 
 WINDOW, END_ID, BUCKETS, SLACK, BROADCAST_ROWS = 2048, 1, 256, 4, 500_000
-YOUNG_WORDS = 250_000
+YOUNG_WORDS = 450_000
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 PIECES = "doc_id bigint, text_hash bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -49,11 +49,11 @@ class Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            # A sign after an ASCII letter or digit is a token of its own. Most words come with several signs, so
-            # that words with one aren't kept.
+            # A sign after an ASCII letter or digit is a token of its own, and most words come with several signs.
             if len(word) > 1 and word[-1] in b".,;:!?" and word[-2] in ALNUM:
-                return self[word[:-1]] + self[word[-1:]]
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                ids = self[word[:-1]] + self[word[-1:]]
+            else:
+                ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
         return ids
 
