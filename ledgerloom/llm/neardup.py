@@ -2,16 +2,22 @@
 
 A document's set holds hashes of its distinct five-word shingles. Documents of equal sets are one node. A node's
 signature is dealt to `TREES` orders. In each order, nodes that share a prefix of three values form a region;
-a region of at most `REGION` nodes yields its longest-common-prefix neighbours (the nodes next to each other in
-the order, and each with the region's first) as candidates. A larger region yields each node with the first one
-and is then split by longer prefixes, of six and of twelve values, so that depth adapts to how crowded a region
-is. No region is ever gathered in one task unless it has at most `REGION` nodes.
+all pairs of a region of at most `REGION` nodes are candidates. A larger region yields each node with its first one
+and is then split by longer prefixes, of six and of twelve values, whose regions yield the same, so that depth adapts
+to how crowded a region is. No region is ever gathered in one task unless it has at most `REGION` nodes.
 
 Candidates whose sizes or whose signatures (a byte a value, with a margin of more than four standard deviations)
 can't reach the threshold are left out. The rest is confirmed exactly, first the best candidate of every node,
 which makes a forest, then all candidates between different trees of that forest; those inside one are linked
 already. Components spread the smallest label along links and along labels, in tables in the shared folder.
 
+First ones alone lose links, so nodes of regions that were too large at the first depth (the crowd) are then joined
+exactly: two sets that reach the threshold share a shingle among the rarest of each, as many as the threshold lets
+be missing and one more. Nodes that share such a shingle and aren't in one component yet are compared by sizes, signatures
+and full sets as above. A shingle of more than `POSTED` nodes deals them to chunks; each pair of chunks is a group of
+its own, which compares two nodes only at the first shingle of theirs and yields links that connect what isn't
+connected in it yet. Frequencies and orders are those of the crowd.
+
 Defined results: texts without words and null texts have an empty set and are linked with nothing; fewer than
 five words are one shingle; repeated rows are copies of each other; a null id is never a component's id unless
 its component has no other; no rows give no rows; columns other than id and text are ignored. Nodes are known
@@ -32,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import give_back, stored
 
 WORDS, TREES, PER_TREE, DEPTHS, REGION, BROADCAST_ROWS = 5, 20, 6, (3, 6, 12), 32, 300_000
+POSTED, CHUNK = 32, 512  # nodes of a shingle that are paired in one row, and in one of several chunks
 VALUES = TREES * PER_TREE
 #: A link needs PART * |intersection| >= WHOLE * |union|.
 PART, WHOLE = 100, 75
@@ -142,32 +149,115 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.binary())], names=["node", "words"])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of the forest's neighbours."""
-    pairs, open_ = [], None
-    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+def _ordered(a, b) -> tuple:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _near_sizes(a, b):
+    return F.least(a, b) * PART >= F.greatest(a, b) * WHOLE
+
+
+def _within(lines: DataFrame, apart=lambda y: F.lit(True)) -> DataFrame:
+    """The pairs a < b of each line of nodes that their sizes allow and for which `apart` holds."""
+    each = lines.select(F.explode("line").alias("x"), "line")
+    near = lambda y: (y["node"] > F.col("x.node")) & _near_sizes(y["n_shingles"], F.col("x.n_shingles")) & apart(y)
+    return each.select(F.col("x.node").alias("a"), F.explode(F.filter("line", near)).alias("y")).select("a", F.col("y.node").alias("b"))
+
+
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b that meet in the forest, and the crowd: nodes of regions that are too large to pair at the first depth."""
+    pairs, open_, crowd = [], None, None
     for depth in range(len(DEPTHS)):
-        rows = nodes.select("node", F.posexplode(f"k{depth}").alias("tree", "key"))
+        rows = nodes.select("node", "n_shingles", F.posexplode(f"k{depth}").alias("tree", "key"))
         if open_ is not None:
             rows = rows.join(open_, ["node", "tree"], "left_semi")
         sizes = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("n > 1"), "forest-regions")
-        pairs.append(sizes.where("n = 2").select(*ordered(F.col("first"), F.col("last"))))
+        pairs.append(sizes.where("n = 2").select(*_ordered(F.col("first"), F.col("last"))))
         members = stored(rows.join(sizes.where("n > 2").select("key", "n", "first"), "key"), "forest-members")
-        pairs.append(members.where(F.col("node") != F.col("first")).select(*ordered(F.col("first"), F.col("node"))))
-        deeper = f"k{min(depth + 1, len(DEPTHS) - 1)}"
-        few = members.where(F.col("n") <= REGION)
-        if depth + 1 < len(DEPTHS):
-            few = few.join(nodes.select("node", deeper), "node").withColumn("further", F.element_at(deeper, F.col("tree") + 1))
-        else:
-            few = few.withColumn("further", F.col("node"))
-        line = few.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("further", "node"))).alias("line"))
-        steps = line.select(F.explode(F.zip_with(F.slice("line", 1, F.size("line") - 1), F.slice("line", 2, F.size("line") - 1), lambda x, y: F.struct(*ordered(x["node"], y["node"])))).alias("p"))
-        pairs.append(steps.select("p.a", "p.b"))
-        open_ = members.where(F.col("n") > REGION).select("node", "tree")
+        if depth == 0:
+            line = members.where(F.col("n") <= REGION).groupBy("key").agg(F.collect_list(F.struct("node", "n_shingles")).alias("line"))
+            pairs.append(_within(line))
+        large = members.where(F.col("n") > REGION)
+        starred = large if depth == 0 else members
+        pairs.append(starred.where(F.col("node") != F.col("first")).select(*_ordered(F.col("first"), F.col("node"))))
+        open_ = large.select("node", "tree")
+        if crowd is None:
+            crowd = stored(large.select("node").distinct(), "forest-crowd")
+            if crowd.isEmpty():
+                break
     every = pairs[0]
     for p in pairs[1:]:
         every = every.unionByName(p)
-    return stored(every.where("a < b").distinct(), "forest-pairs")
+    return stored(every.where("a < b").distinct(), "forest-pairs"), crowd
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of compressed normal texts."""
+    big = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            found = [shingles(big.decompress(w)).view(np.int64) for w in part["words"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array(found, pa.list_(pa.int64()))], names=["node", "found"])
+
+
+PAIRS = "a bigint, b bigint"
+
+
+def _between(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links of different components between two chunks of a shingle's nodes, or inside one: enough to connect what they connect."""
+    token, one, two = (k.as_py() for k in key)
+    big = zstandard.ZstdDecompressor()
+    node, label, n = (rows[c].to_numpy() for c in ("node", "label", "n_shingles"))
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, VALUES)
+    words, tokens, mine = rows["words"], [set(t) for t in rows["tokens"].to_pylist()], rows["chunk"].to_numpy()
+    left, right = np.flatnonzero(mine == one), np.flatnonzero(mine == two)
+    group = np.unique(label, return_inverse=True)[1]
+    sets: dict[int, np.ndarray] = {}
+    links = []
+
+    def look(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles(big.decompress(words[i].as_py()))
+        return sets[i]
+
+    for i in left:
+        near = right[(group[right] != group[i]) & (np.minimum(n[right], n[i]) * PART >= np.maximum(n[right], n[i]) * WHOLE)]
+        if one == two:
+            near = near[node[near] > node[i]]
+        for j in near[(sketch[near] == sketch[i]).mean(1) >= LEAST_MATCH]:
+            if group[i] == group[j] or min(tokens[i] & tokens[j]) != token:
+                continue
+            x, y = look(int(i)), look(int(j))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if PART * common >= WHOLE * (len(x) + len(y) - common):
+                links.append(sorted((int(node[i]), int(node[j]))))
+                group[group == group[j]] = group[i]
+    return pa.table({c: pa.array([p[k] for p in links], pa.int64()) for k, c in enumerate("ab")})
+
+
+def crowded(crowd: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links a < b between different components (node, label) in the crowd: enough to connect all that reach the threshold."""
+    held = texts.join(crowd, "node", "left_semi").mapInArrow(_unpacked, "node bigint, found array<bigint>")
+    tokens = stored(held.select("node", F.explode("found").alias("token")), "crowd-tokens")
+    counts = stored(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"), "crowd-counts")
+    common = tokens.join(counts, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("rare"))
+    known = nodes.join(crowd, "node", "left_semi").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n_shingles", "sketch")
+    # Of n shingles n - ceil(n * WHOLE / PART) + 1 are asked for, rarest first: those of one node come before the common ones.
+    asked = F.expr(f"int(n_shingles - (n_shingles * {WHOLE} + {PART - 1}) div {PART} + 1 - (n_shingles - size(rare)))")
+    rare = common.join(known.select("node", "n_shingles", "label"), "node").where(asked > 0).select("node", "label", "n_shingles", F.explode(F.slice("rare", F.lit(1), asked)).alias("r"))
+    posted = stored(rare.select("node", "label", "n_shingles", F.col("r.token").alias("token")), "crowd-posted")
+    sizes = posted.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 1 and low <> high").select("token", "n")
+    open_ = stored(posted.join(sizes, "token"), "crowd-open")
+    line = open_.where(F.col("n") <= POSTED).groupBy("token").agg(F.collect_list(F.struct("node", "label", "n_shingles")).alias("line"))
+    few = stored(_within(line, lambda y: y["label"] != F.col("x.label")).distinct(), "crowd-pairs")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    many = open_.where(F.col("n") > POSTED).groupBy("node").agg(F.collect_list(F.struct("token", "n")).alias("held"))
+    many = many.join(known, "node").join(texts, "node").withColumn("tokens", F.col("held.token")).withColumn("h", F.explode("held")).select("*", "h.token", "h.n")
+    many = many.withColumn("chunk", F.pmod(F.xxhash64("node", "token"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    many = many.select("token", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "node", "label", "n_shingles", "sketch", "words", "tokens", "chunk")
+    found = stored(many.groupBy("token", "one", "two").applyInArrow(_between, PAIRS), "crowd-links")
+    return found.unionByName(confirmed(likely(few, nodes), texts)).distinct()
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +273,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b, match: the pairs that sizes and signatures let reach the threshold."""
     one = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b").where((F.least("n_a", "n_b") * PART >= F.greatest("n_a", "n_b") * WHOLE))
+    both = pairs.join(one("a"), "a").join(one("b"), "b").where(_near_sizes("n_a", "n_b"))
     return both.select("a", "b", "s_a", "s_b").mapInArrow(_likely, "a bigint, b bigint, match double")
 
 
@@ -211,7 +301,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     one = lambda x: texts.select(F.col("node").alias(x), F.col("words").alias(f"w_{x}"))
     both = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
-    return stored(both.select("a", "b", "w_a", "w_b").mapInArrow(_confirm, "a bigint, b bigint"), "near-links")
+    return stored(both.select("a", "b", "w_a", "w_b").mapInArrow(_confirm, PAIRS), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,8 +326,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owners = stored(sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(own).alias("own")), "near-owners")
     first = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(3)), F.first("sketch").alias("sketch"))
     nodes = stored(first, "near-nodes")
-    pairs = stored(likely(candidates(nodes), nodes), "near-likely")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(owners, "node")
+    met, crowd = candidates(nodes)
+    pairs = stored(likely(met, nodes), "near-likely")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd).distinct().join(owners, "node")
     wanted = stored(wanted, "near-wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)  # else texts are shuffled by id
@@ -249,7 +340,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b"))
     apart = apart.join(best.select("a", "b"), ["a", "b"], "left_anti")
     more = confirmed(apart, texts)
-    labels = components(sure.unionByName(more))
+    links = sure.unionByName(more)
+    labels = components(links)
+    if not crowd.isEmpty():
+        labels = components(links.unionByName(crowded(crowd, nodes, labels, texts)))
     member = stored(sets.select("doc_id", "node", "n_shingles").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")), "near-members")
     smallest = member.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     done = member.join(smallest, "group", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

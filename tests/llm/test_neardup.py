@@ -59,6 +59,30 @@ def test_crowded_regions(spark):
     assert run(spark.createDataFrame(docs, "doc_id bigint, text string")) == brute(docs)
 
 
+def test_crowd_is_joined_exactly(spark):
+    """Edited copies that are near their base alone, pairs in texts that share most of their words, and many texts that are near none."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+
+    def edited(base, n):
+        w = list(base)
+        for k in rng.choice(len(w) // 6, n, replace=False):
+            w[6 * k + 3] = f"x{rng.integers(10**9)}"
+        return w
+
+    base, passage, docs = word(300), word(160), []
+    docs += [" ".join(edited(base, 8)) for _ in range(400)] + [" ".join(base)]
+    for _ in range(60):
+        own = passage + word(100)
+        docs += [" ".join(own), " ".join(edited(own, 7))]
+    far = word(200)
+    docs += [" ".join(edited(far, 9)) for _ in range(600)]
+    docs = list(enumerate(docs))
+    want = brute(docs)
+    assert len({c for i, (_, c) in want.items() if i <= 400}) == 1 and len({c for i, (_, c) in want.items() if i > 520}) > 500
+    assert run(spark.createDataFrame(docs, "doc_id bigint, text string")) == want
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, " \n\t"), (4, "one two"), (5, "One  TWO"), (6, "a b c d e"), (7, "a b c d e"), (8, "long " * 30000), (9, "É b c d e f"), (10, "é b c d e f")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1L as node", "'x' as words")
