@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, stored
 
-DEPTH, BLOCK_BYTES, BLOCKS_A_SHARD = 5, 6 << 20, 6
+DEPTH, BLOCK_BYTES, BLOCKS_A_SHARD = 6, 6 << 20, 6
 END = 10
 _LGAMMA_HALF = 0.5 * log(np.pi)
 _table: list[np.ndarray] = []
@@ -78,7 +78,7 @@ def grams(texts: list[bytes]) -> np.ndarray:
 def _squeeze(keys: np.ndarray) -> bytes:
     """Sorted keys as compressed differences, their bytes by place."""
     d = np.diff(keys, prepend=np.zeros(1, keys.dtype)).view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d).tobytes())
+    return zstandard.ZstdCompressor(level=9).compress(np.ascontiguousarray(d).tobytes())
 
 
 def _unsqueeze(raw: bytes) -> np.ndarray:
@@ -241,18 +241,18 @@ def _block_words(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return found[order], rank[index]
 
 
-def _open_block(rows: pa.Table):
+def _open_block(rows: pa.Table, shared: bytes):
     """The block's documents in an order that any run repeats: ids, held-out flags, words and byte sequences."""
-    big = zstandard.ZstdDecompressor()
+    big = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared))
     docs = [(i, h, big.decompress(z)) for i, h, z in zip(rows["doc_id"].to_pylist(), rows["held_out"].to_pylist(), rows["words"].to_pylist())]
     docs.sort(key=lambda d: (d[0] is None, d[0] or 0, d[2]))
     return [d[0] for d in docs], np.array([d[1] for d in docs], bool), [d[2] for d in docs]
 
 
-def _gather(shards: int):
+def _gather(shards: int, shared: bytes):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         block = key[0].as_py()
-        _, held, texts = _open_block(rows)
+        _, held, texts = _open_block(rows, shared)
         out = []
 
         def send(kind: str, keys: np.ndarray, counts: np.ndarray, at: np.ndarray) -> None:
@@ -324,9 +324,9 @@ SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_model_bytes", pa.int64())])
 
 
-def _score(shards: int, n_train: int, n_distinct: int):
+def _score(shards: int, n_train: int, n_distinct: int, shared: bytes):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, held, texts = _open_block(docs)
+        ids, held, texts = _open_block(docs, shared)
         got = {(k, s): raw for k, s, raw in zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers["counts"].to_pylist())}
 
         def values(kind: str, at: np.ndarray, dtype: str) -> np.ndarray:
@@ -350,13 +350,25 @@ def _score(shards: int, n_train: int, n_distinct: int):
     return run
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    small = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            words = [small.compress(b" ".join(tokens(t)) + b"\n") for t in part["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], part["block"], pa.array(words, pa.binary())], names=["doc_id", "held_out", "block", "words"])
+def _shared(rows: DataFrame) -> bytes:
+    """A dictionary that compresses short texts better; it has no part in the scores."""
+    some = [b" ".join(tokens(r["t"])) for r in rows.where("text is not null").select(F.substring("text", 1, 4000).alias("t")).limit(2000).collect()]
+    try:
+        return zstandard.train_dictionary(64 << 10, some).as_bytes()
+    except zstandard.ZstdError:  # too few texts
+        return b""
+
+
+def _words(shared: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(shared))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                words = [small.compress(b" ".join(tokens(t)) + b"\n") for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], part["block"], pa.array(words, pa.binary())], names=["doc_id", "held_out", "block", "words"])
+
+    return run
 
 
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,9 +377,10 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = int(size // BLOCK_BYTES) + 1
     shards = max(4, blocks // BLOCKS_A_SHARD)
+    shared = _shared(rows)
     # A block is known by ids and texts: copies of a text with one id stay together, copies with others spread.
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(_words, "doc_id bigint, held_out boolean, block bigint, words binary")
-    sent = stored(dealt.groupBy("block").applyInArrow(_gather(shards), ROWS), "ctw-sent")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(_words(shared), "doc_id bigint, held_out boolean, block bigint, words binary")
+    sent = stored(dealt.groupBy("block").applyInArrow(_gather(shards, shared), ROWS), "ctw-sent")
     parts = sent.groupBy("shard", "kind")
     few = parts.applyInArrow(_shallow, SHALLOW).groupBy("near", "node").agg(F.sum("n").alias("n"), F.sum("log").alias("log")).collect()
     counts, below, n_train, n_distinct = np.zeros((256, 256)), np.zeros((256, 256)), 0, 0
@@ -379,7 +392,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         else:
             below[near, node] = logs
     answers = parts.applyInArrow(_answer(Root(counts, below)), ROWS)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, n_train, n_distinct), SCORES)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, n_train, n_distinct, shared), SCORES)
 
 
 def op1_ctw(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import contexts as C
 
@@ -100,3 +101,11 @@ def test_repeated_rows_and_no_rows(spark):
     none = C.score_texts(df, C.F.lit(True)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in none)
     assert none[0].score == pytest.approx(-8 * none[0].n_model_bytes * math.log10(2))
+
+
+def test_sixth_byte_of_context_is_used(spark):
+    """The last letter of each word is known from its first one, six bytes before."""
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join(f"{c}mmmmm{c}" for c in rng.choice(["p", "q"], 200))) for i in range(30)]
+    held = C.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") == 0).where("held_out").collect()
+    assert [r.doc_id for r in held] == [0] and -held[0].score / math.log10(2) < 1.4 * 200
