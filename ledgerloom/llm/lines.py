@@ -115,17 +115,16 @@ def _build_shard(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _change_shard(key: tuple, old: pa.Table, rows: pa.Table) -> pa.Table:
-    """Applies a shard's additions and removals to its filter; builds it anew, larger, if it overflows."""
+    """Applies a shard's additions and removals to its filter; n_keys is -1 if it overflows and must be built anew, larger."""
     sign = rows["sign"].to_numpy() if rows.num_rows else np.zeros(0, np.int32)
     h = rows["h1"].to_numpy() if rows.num_rows else np.zeros(0, np.int64)
     out = [_open(o["n_buckets"], o["slots"]) for o in old.to_pylist()]
     c = out[0] if out else Cuckoo.sized(len(h))
     n = sum(old["n_keys"].to_pylist()) + int((sign > 0).sum()) - int((sign < 0).sum())
     c.delete(h[sign < 0])
-    # An overflow loses a fingerprint: answer "maybe" for the whole shard until the next build.
-    if not c.insert(h[sign > 0]):
-        c = Cuckoo(0 + 1, np.zeros((1, SLOTS), np.uint16))
-        return _filter_row(key[0].as_py(), -1, c)
+    # An overflow loses a fingerprint: what the filter holds is void.
+    if min(old["n_keys"].to_pylist(), default=0) < 0 or not c.insert(h[sign > 0]):
+        return _filter_row(key[0].as_py(), -1, Cuckoo(1))
     return _filter_row(key[0].as_py(), n, c)
 
 
@@ -179,8 +178,9 @@ class LineIndex:
 
     def _moved(self, postings: DataFrame, refs: DataFrame, first: bool) -> "LineIndex":
         now = refs.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
-        if first:
-            shards = max(self.shards, now.count() // 50_000 + 1)
+        needed = now.count() // 50_000 + 1
+        if first or needed > self.shards:
+            shards = max(self.shards, needed if first else 2 * needed)
             made = replace(self, postings=postings, refs=refs, shards=shards)
             filters = now.select("h1", made.shard()).groupBy("shard").applyInArrow(_build_shard, FILTERS)
             return replace(made, filters=stored(filters, "line-filters"))
@@ -188,7 +188,12 @@ class LineIndex:
         moves = now.join(then, ["h1", "h2"], "left_anti").withColumn("sign", F.lit(1)).unionByName(then.join(now, ["h1", "h2"], "left_anti").withColumn("sign", F.lit(-1)))
         moves = moves.select("h1", "sign", self.shard())
         filters = self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(_change_shard, FILTERS)
-        return replace(self, postings=postings, refs=refs, filters=stored(filters, "line-filters"))
+        filters = stored(filters, "line-filters")
+        full = filters.where("n_keys < 0").select("shard")
+        if not full.isEmpty():
+            built = now.select("h1", self.shard()).join(F.broadcast(full), "shard", "left_semi").groupBy("shard").applyInArrow(_build_shard, FILTERS)
+            filters = stored(filters.where("n_keys >= 0").unionByName(built), "line-filters")
+        return replace(self, postings=postings, refs=refs, filters=filters)
 
     def maybe(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose key the filters know, or all of them if the filters are too large to send."""

@@ -64,6 +64,16 @@ def test_insertions_and_deletions_are_reversible(spark):
     assert got(again.rewrite(frame(spark, every))) == brute(every)
 
 
+def test_growth_past_the_first_size_and_a_small_insert(spark):
+    many = "\n".join(f"{LONG} {i}" for i in range(200))
+    parts = [[(i, LONG) for i in (1, 2, 3)], [(i, many) for i in (4, 5, 6)] + [(7, "z" * 30), (8, "z" * 30)], [(9, "z" * 30)]]
+    index, every = LineIndex.empty(spark, shards=1), []
+    for part in parts:
+        index, every = index.insert(frame(spark, part)), every + part
+        assert got(index.rewrite(frame(spark, every))) == brute(every)
+    assert [r.n_keys for r in index.filters.collect()] == [202]
+
+
 def test_cuckoo_filter_has_no_false_negatives_and_deletes():
     rng = np.random.default_rng(5)
     h = rng.integers(-(2**63), 2**63, 20_000)
