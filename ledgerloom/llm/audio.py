@@ -3,11 +3,14 @@
 A payload is stored as mono WAV with unsigned 8-bit samples, a byte a sample, so that it comes back without
 loss. Features are computed from the stored bytes: polyphase resampling, overlapped log-mel filterbanks and
 segmentation by energy with hysteresis. Clips are of any length, features are tensors of one shape: a clip
-has one row of `feature_rows` for every `FRAMES` frames, each row a [FRAMES, MELS] float32 tensor with the span
-of seconds it covers (the last one is filled up with the floor value), in an Arrow fixed-shape tensor column.
+has a table with one row for every `FRAMES` frames, each a [FRAMES, MELS] float16 tensor (an Arrow fixed-shape
+tensor column; the last one is filled up with the floor value) with the seconds it covers, its frames and the
+spans of the segments that begin in it. A clip's table is stored beside its id as an Arrow IPC stream.
 
 The steps go along the clip in blocks that overlap by the filters' reach, so memory doesn't grow with a clip.
-Every clip is computed by itself from its own bytes alone: equal texts have equal values.
+Every clip is computed by itself from its own bytes alone. No sum goes through BLAS, whose order of additions
+depends on its threads: filters and bands are summed in a fixed order, in doubles, and log energies are
+rounded to steps of 1 / STEPS, which float16 holds exactly. Equal texts have equal values.
 
 Defined results: null texts are empty; an empty text is a payload of padding; repeated rows get the same
 result; no rows give no rows; other columns are ignored.
@@ -25,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 UNIT, PAD = 192, b" "
 RATE, UP, DOWN = 16_000, 3, 4  # from 16 to 12 kHz
 TAPS, SIZE, HOP, MELS, FRAMES = 8, 256, 128, 24, 64
-FLOOR_LOG = -10.0
+FLOOR_LOG, STEPS = -10.0, 64
 ON_DB, OFF_DB, HOLD = 3.0, -3.0, 3  # against the clip's mean energy; frames that a segment lasts at least
 
 
@@ -65,7 +70,7 @@ def _filters(up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
     n = np.arange(up * taps) - (up * taps - 1) / 2
     cut = 1.0 / max(up, down)
     h = np.sinc(n * cut) * cut * np.hamming(len(n)) * up
-    return np.ascontiguousarray(h.reshape(taps, up).T[:, ::-1] / (h.sum() / up)).astype(np.float32)
+    return np.ascontiguousarray(h.reshape(taps, up).T[:, ::-1] / (h.sum() / up))
 
 
 def _mel_bank(rate: float, size: int = SIZE, mels: int = MELS) -> np.ndarray:
@@ -74,23 +79,27 @@ def _mel_bank(rate: float, size: int = SIZE, mels: int = MELS) -> np.ndarray:
     f = np.arange(size // 2 + 1) * rate / size
     lo, mid, hi = edges[:-2, None], edges[1:-1, None], edges[2:, None]
     bank = np.clip(np.minimum((f - lo) / (mid - lo), (hi - f) / (hi - mid)), 0, None)
-    return (bank / np.maximum(bank.sum(1, keepdims=True), 1e-9)).T.astype(np.float32)
+    return (bank / np.maximum(bank.sum(1, keepdims=True), 1e-9)).T
 
 
 FILTERS, BANK = _filters(), _mel_bank(RATE * UP / DOWN)
-TAPER = np.hanning(SIZE).astype(np.float32)
+TAPER = np.hanning(SIZE)
+#: The bands' bins end to end (a band without a bin keeps its first one, of weight 0), and where each band starts.
+_BINS = [np.flatnonzero(band) if band.any() else np.zeros(1, np.int64) for band in BANK.T]
+BINS, WEIGHTS = np.concatenate(_BINS), np.concatenate([BANK[b, m] for m, b in enumerate(_BINS)])
+BANDS = np.cumsum([0, *map(len, _BINS[:-1])])
 
 
 def resample(x: np.ndarray) -> np.ndarray:
     """Polyphase: output k reads inputs around k * DOWN / UP with the filter of its phase."""
     n = len(x) * UP // DOWN
-    wide = np.concatenate([np.zeros(TAPS // 2, np.float32), x, np.zeros(TAPS + DOWN, np.float32)])
-    out = np.empty(n, np.float32)
+    wide = np.concatenate([np.zeros(TAPS // 2), x, np.zeros(TAPS + DOWN)])
+    out = np.zeros(n)
     for first in range(UP):  # outputs first, first + UP, ... share a phase and lie DOWN inputs apart
         start, phase = divmod(first * DOWN, UP)
-        m = len(range(first, n, UP))
-        rows = np.lib.stride_tricks.as_strided(wide[start:], (m, TAPS), (wide.strides[0] * DOWN, wide.strides[0]))
-        out[first::UP] = rows @ FILTERS[phase]
+        last = start + DOWN * (len(range(first, n, UP)) - 1) + 1
+        for k in range(TAPS if last > start else 0):
+            out[first::UP] += wide[start + k : last + k : DOWN] * FILTERS[phase, k]
     return out
 
 
@@ -104,17 +113,18 @@ def log_mel(samples: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     margin = reach  # inputs before and after that the filters and the last frames read
     for at in range(0, max(len(samples), 1), block):
         begin = max(0, at - margin)
-        x = (samples[begin : at + block + 2 * margin].astype(np.float32) - 128) / 128
+        x = (samples[begin : at + block + 2 * margin].astype(np.float64) - 128) / 128
         y = resample(x)[(at - begin) * UP // DOWN :]
         if len(y) < SIZE:
-            y = np.concatenate([y, np.zeros(SIZE - len(y), np.float32)])
+            y = np.concatenate([y, np.zeros(SIZE - len(y))])
         n = min(total - done, block * UP // DOWN // HOP, (len(y) - SIZE) // HOP + 1)
         if n <= 0:
             break
         frames = np.lib.stride_tricks.as_strided(y, (n, SIZE), (y.strides[0] * HOP, y.strides[0])) * TAPER
         spectrum = np.fft.rfft(frames, axis=1)
-        power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        parts.append(np.log(np.maximum(power @ BANK, np.float32(np.exp(FLOOR_LOG)))))
+        power = spectrum.real**2 + spectrum.imag**2
+        bands = np.add.reduceat(power[:, BINS] * WEIGHTS, BANDS, axis=1)
+        parts.append(np.round(np.log(np.maximum(bands, np.exp(FLOOR_LOG))) * STEPS) / STEPS)
         done += n
     return np.concatenate(parts)
 
@@ -138,49 +148,37 @@ def seconds(frame: int) -> float:
     return frame * HOP * DOWN / (UP * RATE)
 
 
-def tensors(mel: np.ndarray) -> np.ndarray:
-    """[rows, FRAMES, MELS]: the frames in rows of one shape, the last filled up with the floor."""
-    rows = -(-len(mel) // FRAMES)
-    out = np.full((rows * FRAMES, MELS), FLOOR_LOG, np.float32)
-    out[: len(mel)] = mel
-    return out.reshape(rows, FRAMES, MELS)
-
-
-def feature_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """doc_id, nth, begin_s, end_s, features (an Arrow IPC stream of one fixed-shape tensor), spans (of segments
-    that begin in the row): one row for each FRAMES frames of a stored clip."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, raw in zip(batch["doc_id"], batch["media"]):
-                mel = log_mel(samples_of(raw.as_py())[0])
-                found = segments(mel)
-                out = []
-                for i, t in enumerate(tensors(mel)):
-                    own = [{"begin_s": seconds(a), "end_s": seconds(b)} for a, b in found if i * FRAMES <= a < (i + 1) * FRAMES]
-                    out.append({"doc_id": doc.as_py(), "nth": i, "begin_s": seconds(i * FRAMES), "end_s": seconds(min(len(mel), (i + 1) * FRAMES)), "features": tensor_ipc(t), "spans": own})
-                    if len(out) == 256:
-                        yield pa.RecordBatch.from_pylist(out, schema=_ROWS)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=_ROWS)
-
-    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, "doc_id bigint, nth int, begin_s double, end_s double, features binary, spans array<struct<begin_s: double, end_s: double>>")
-
-
-_ROWS = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("begin_s", pa.float64()), ("end_s", pa.float64()), ("features", pa.binary()), ("spans", pa.list_(pa.struct([("begin_s", pa.float64()), ("end_s", pa.float64())])))])
-
-
-def tensor_ipc(t: np.ndarray) -> bytes:
-    values = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(t, np.float32).ravel()), t.size)
-    column = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), t.shape), values)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("log_mel", column.type)])) as w:
-        w.write_batch(pa.record_batch([column], names=["log_mel"]))
+_SPAN = pa.struct([("begin_s", pa.float64()), ("end_s", pa.float64())])
+TABLE = pa.schema([("log_mel", pa.fixed_shape_tensor(pa.float16(), (FRAMES, MELS))), ("begin_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("spans", pa.list_(_SPAN))])
+
+
+def feature_table(mel: np.ndarray, found: list[tuple[int, int]], rows: int = 256) -> bytes:
+    """A clip's features: an Arrow IPC stream of TABLE, a row for every FRAMES frames, `rows` of them a batch."""
+    sink, n = pa.BufferOutputStream(), -(-len(mel) // FRAMES)
+    by_row: dict[int, list[dict]] = {}
+    for a, b in found:
+        by_row.setdefault(a // FRAMES, []).append({"begin_s": seconds(a), "end_s": seconds(b)})
+    with pa.ipc.new_stream(sink, TABLE) as w:
+        for lo in range(0, n, rows):
+            hi = min(n, lo + rows)
+            values = np.full(((hi - lo) * FRAMES, MELS), FLOOR_LOG, np.float16)
+            part = mel[lo * FRAMES : hi * FRAMES]
+            values[: len(part)] = part
+            storage = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), FRAMES * MELS)
+            ends = [min(len(mel), (i + 1) * FRAMES) for i in range(lo, hi)]
+            w.write_batch(
+                pa.record_batch(
+                    [pa.ExtensionArray.from_storage(TABLE.field(0).type, storage), pa.array([seconds(i * FRAMES) for i in range(lo, hi)]), pa.array([seconds(e) for e in ends]), pa.array([e - i * FRAMES for i, e in zip(range(lo, hi), ends)], pa.int32()), pa.array([by_row.get(i, []) for i in range(lo, hi)], pa.list_(_SPAN))],
+                    schema=TABLE,
+                )
+            )
     return sink.getvalue().to_pybytes()
 
 
-def tensor_of(ipc: bytes) -> np.ndarray:
-    return pa.ipc.open_stream(ipc).read_all()["log_mel"].combine_chunks().to_numpy_ndarray()[0]
+def opened(features: bytes) -> tuple[np.ndarray, pa.Table]:
+    """The tensors [rows, FRAMES, MELS] of a clip's features, and their table."""
+    table = pa.ipc.open_stream(features).read_all()
+    return np.concatenate([c.to_numpy_ndarray() for c in table["log_mel"].chunks]), table
 
 
 STORED = "doc_id bigint, n_bytes bigint, media binary"
@@ -198,38 +196,74 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, STORED)
 
 
-DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-
+FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, features binary"
+_FEATURES = pa.schema([(c.split()[0], {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in FEATURES.split(", ")])
 
-def digests(media: DataFrame) -> DataFrame:
-    """What op6 returns, from rows of `store`: everything is computed from the stored bytes.
 
-    `feature` has the frames, the segments with the first one's span, the mean log-mel of each band to a tenth,
-    and a CRC of the tensors in steps of 1/16."""
+def features(media: DataFrame) -> DataFrame:
+    """Digests and the feature table of each stored clip (rows of `store`), all from the bytes that are read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, held = [], 0
             for doc, n, raw in zip(batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), batch["media"]):
                 file = raw.as_py()
                 samples, _ = samples_of(file)
                 payload = samples.tobytes()
                 mel = log_mel(samples)
-                found = segments(mel)
-                crc = zlib.crc32(np.round(tensors(mel) * 16).astype("<i2").tobytes())
-                span = f"{seconds(found[0][0]):.3f}-{seconds(found[0][1]):.3f}" if found else "none"
-                feature = f"frames={len(mel)};segments={len(found)};first={span};mel=" + ",".join(f"{v:.1f}" for v in mel.mean(0, dtype=np.float64)) + f";tensors={crc:08x}"
-                out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature))
+                out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature_table(mel, segments(mel))))
+                held += len(out[-1][-1])
+                if held > 8 << 20 or len(out) == 1000:
+                    yield _rows(out, _FEATURES)
+                    out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(_DIGEST.names, r)) for r in out], schema=_DIGEST)
+                yield _rows(out, _FEATURES)
 
-    return media.mapInArrow(run, DIGEST)
+    return media.mapInArrow(run, FEATURES)
 
 
-_DIGEST = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in DIGEST.split(", ")])
+def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
-def op6_audio(spark, sf_dir: str) -> DataFrame:
-    from .common import stored
+def described(features: bytes) -> str:
+    """Frames, segments with the first one's span, the mean log-mel of each band to a tenth, and a CRC of the tensors
+    in steps: what op6 tells of a clip's feature table."""
+    tensors, table = opened(features)
+    n = int(np.sum(table["frames"].to_numpy()))
+    flat = tensors.reshape(-1, MELS).astype(np.float64)
+    spans = [s for row in table["spans"].to_pylist() for s in row]
+    first = f"{spans[0]['begin_s']:.3f}-{spans[0]['end_s']:.3f}" if spans else "none"
+    crc = zlib.crc32((flat * STEPS).astype("<i2").tobytes())
+    return f"frames={n};segments={len(spans)};first={first};mel=" + ",".join(f"{v:.1f}" for v in flat[:n].mean(0)) + f";tensors={crc:08x}"
+
+
+def tensor_rows(features: DataFrame) -> DataFrame:
+    """doc_id, nth, begin_s, end_s, frames, log_mel (FRAMES x MELS values end to end), spans: a row for each tensor."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, raw in zip(batch["doc_id"], batch["features"]):
+                nth = 0
+                for part in pa.ipc.open_stream(raw.as_py()):
+                    n, cells = part.num_rows, pa.array(part["log_mel"].to_numpy_ndarray().reshape(part.num_rows, -1).astype(np.float32).tolist(), pa.list_(pa.float32()))
+                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * n, pa.int64()), pa.array(range(nth, nth + n), pa.int32()), part["begin_s"], part["end_s"], part["frames"], cells, part["spans"]], names=["doc_id", "nth", "begin_s", "end_s", "frames", "log_mel", "spans"])
+                    nth += n
 
-    media = stored(store(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "audio")
-    return digests(media)
+    return features.select("doc_id", "features").mapInArrow(run, "doc_id bigint, nth int, begin_s double, end_s double, frames int, log_mel array<float>, spans array<struct<begin_s: double, end_s: double>>")
+
+
+DIGEST = FEATURES.replace("features binary", "feature string")
+_DIGEST = pa.schema([*list(_FEATURES)[:-1], ("feature", pa.string())])
+
+
+def digests(stored_features: DataFrame) -> DataFrame:
+    """The rows of `features` with their table, read back, described as a string."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([described(f.as_py()) for f in batch["features"]], pa.string())], schema=_DIGEST)
+
+    return stored_features.mapInArrow(run, DIGEST)
+
+
+def op6_audio(spark, sf_dir: str) -> DataFrame:
+    media = stored(store(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "audio-media")
+    return digests(stored(features(media), "audio-features"))

@@ -19,9 +19,13 @@ _own: list[str] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below spark.checkpoint.dir, which executors and driver share.
 
-    Only where that setting is absent (tests, local mode) a temporary folder of this process serves."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    Where neither that setting nor setCheckpointDir names one, a local session (tests) gets a temporary folder of
+    this process; on a cluster that folder would be each machine's own, so there it's an error."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
         base = _own[0]
