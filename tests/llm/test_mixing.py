@@ -49,9 +49,35 @@ def test_against_rounds(spark):
     assert sorted(rows) == sorted(mixing.mix(frame(spark, DOCS).repartition(3), block_words=16).collect())
 
 
-def test_block_size_does_not_change_what_is_taken(spark):
-    take = lambda n: sorted((r.doc_id, r.taken) for r in mixing.mix(frame(spark, DOCS), block_words=n).collect())
-    assert take(16) == take(1000)
+def test_spans_are_what_is_taken(spark):
+    for r in mixing.mix(frame(spark, DOCS), block_words=16).collect():
+        assert sum(x.n for x in r.spans) == r.taken and len(r.spans) == r.n_slots
+        assert r.first_slot == (min(x.slot for x in r.spans) if r.spans else None)
+        passes = [[w for x in r.spans if x.epoch == e for w in range(x.at, x.at + x.n)] for e in (0, 1)]
+        assert all(len(p) == len(set(p)) and all(0 <= w < r.size for w in p) for p in passes)
+
+
+def test_a_pass_takes_every_block_once_in_a_shuffled_order(spark):
+    targets = spark.createDataFrame([("a", 1000, 2000.0, 2000), ("b", 1005, 1500.0, 1500), ("c", 7, 7.0, 7)], "source_key string, source_size long, target double, target_words long")
+    rows = mixing.schedule(targets, 10).collect()
+    for s, size, words in (("a", 1000, 2000), ("b", 1005, 1500), ("c", 7, 7)):
+        own = sorted((r for r in rows if r.source_key == s), key=lambda r: r.slot)
+        assert sum(r.take for r in own) == words
+        first = [r.block for r in own if r.epoch == 0]
+        assert sorted(first) == list(range(-(-size // 10))) and (s == "c" or first != sorted(first))
+        assert len({(r.epoch, r.block) for r in own}) == len(own)
+
+
+def test_many_sources_and_fine_cells(spark, monkeypatch):
+    """Ranges of sources, and slots that meet their sources by fine cells."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
+    monkeypatch.setattr(mixing, "CELLS", 8)
+    monkeypatch.setattr(mixing, "CELL_SLOTS", 2)
+    monkeypatch.setattr(mixing, "SLOTS_TOGETHER", 4)
+    monkeypatch.setattr(mixing, "FAN", 3)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    docs = [(i, "w " * (i % 13 + 1), f"s{i % 40}") for i in range(300)] + [(900 + i, "w " * 50, "large") for i in range(60)]
+    check(mixing.mix(frame(spark, docs), block_words=4).collect(), docs)
 
 
 def test_repeated_rows_and_none(spark):
@@ -65,7 +91,7 @@ def test_repeated_rows_and_none(spark):
 
 def test_slots_are_spread(spark):
     """In any stretch of the schedule a source has near its share of slots."""
-    rows = mixing.placed_documents(frame(spark, DOCS), 64, "doc_id", "text", "source")
+    rows = mixing.placed_documents(frame(spark, DOCS), "doc_id", "text", "source")
     slots = mixing.schedule(rows[1], 4).orderBy("slot").collect()
     half = slots[: len(slots) // 2]
     for s in {r.source_key for r in slots}:
