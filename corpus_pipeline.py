@@ -7,8 +7,9 @@ mix         sources are mixed to their target weights (7): a document is repeate
 pack        documents are cut into pieces of 2048-token sequences (4)
 
 Every stage works on all rows of the one before. Nulls, empty and repeated rows are treated as the operators'
-modules state. A document of which the mix takes two passes is two rows; the last document that a source takes
-is cut after the words taken, which joins them by single spaces. Columns beside those of documents are dropped.
+modules state. A document of which the mix takes two passes is two rows or more: one for each run of its words that a
+pass takes, in the order of the schedule. Runs that aren't whole documents have their words joined by single spaces.
+Columns beside those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -49,18 +50,26 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share an id are told apart by their texts' hashes, and those that share both by a number."""
+    """A row for each run of words that the mix takes of a document in one pass, in the order of the schedule. Rows that
+    share an id are told apart by their texts' hashes, and those that share both by a number."""
     tagged = docs.select(*COLUMNS, _key(), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("__text"))
     same = Window.partitionBy("__key", "__text")
     rows = tagged.withColumn("__nth", F.row_number().over(same.orderBy("source", "lang", "n_chars")))
-    parts = mixing.mix(tagged, tag_col="__text").select(_key(), F.col("tag").alias("__text"), "size", "taken_first", "taken_second")
-    parts = parts.withColumn("__part", F.row_number().over(same.orderBy("taken_first", "taken_second")))
+    parts = mixing.mix(tagged, tag_col="__text").select(_key(), F.col("tag").alias("__text"), "size", "spans")
+    parts = parts.withColumn("__part", F.row_number().over(same.orderBy("spans")))
     # Both sides lie by key and text already; equal numbers are asked for in a form that doesn't deal them anew.
     both = rows.join(parts, ["__key", "__text"]).where("__nth >= __part and __nth <= __part")
-    taken = both.select(*COLUMNS, "size", F.explode(F.array("taken_first", "taken_second")).alias("take")).where("take > 0")
+    end = lambda x: x["at"] + x["n"]
+    joins = lambda x, y: F.coalesce((x["epoch"] == y["epoch"]) & (end(x) == y["at"]), F.lit(False))
+    begins = F.filter("spans", lambda x, i: (i == 0) | ~joins(F.get("spans", i - 1), x))
+    ends = F.filter("spans", lambda x, i: ~joins(x, F.get("spans", i + 1)))
+    runs = F.zip_with(begins, ends, lambda a, b: F.struct(a["at"].alias("at"), (end(b) - a["at"]).alias("n"), a["slot"].alias("slot")))
+    # Words are split once a document: the column is asked for twice, so that no step inside the transform does it.
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("take") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("take").cast("int")), " "))
-    return taken.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    held = both.withColumn("__words", words).withColumn("__runs", runs)
+    cut = F.transform("__runs", lambda r: F.struct(F.when(r["n"] >= F.size("__words"), F.col("text")).otherwise(F.array_join(F.slice("__words", (r["at"] + 1).cast("int"), r["n"].cast("int")), " ")).alias("text"), r["slot"].alias("slot")))
+    taken = held.withColumn("__cut", F.explode(cut)).withColumn("text", F.col("__cut.text"))
+    return taken.withColumn("n_chars", F.length("text").cast("long")).orderBy("__cut.slot", "doc_id").select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
