@@ -1,13 +1,14 @@
 """Quality classification by a byte-level convolutional network in numpy.
 
-Bytes become symbols: one of twelve classes, and whether the four bytes from here occurred up to 16 bytes ago.
-Learned filters of eight symbols run over the text in steps of two, are averaged over blocks of 64 bytes and
-max-pooled over chunks of eight blocks; chunks start every four blocks, overlap by half and cover the whole
-document. The mean and the maximum over all chunks go through one hidden layer to one probability.
+Every byte has a learned embedding. Learned filters of eight bytes run over the text in steps of two, are averaged
+over blocks of 64 bytes and max-pooled over chunks of eight blocks; chunks start every four blocks, overlap by half
+and cover the whole document. The mean and the maximum over all chunks go through one hidden layer to one probability.
+Nothing about bytes, words or repetition is given by hand.
 
 Sample bound: the network is fitted on the driver on about `TRAIN_ROWS` labelled rows at most, chosen by a hash
-of their ids, of which each gives up to `TRAIN_BYTES` bytes (its beginning, middle and end). Scoring reads
-whole documents. A batch of rows is scored at once, each document from its own bytes alone.
+of their ids, of which each gives up to `TRAIN_BYTES` bytes (its beginning, middle and end). The fit runs on one
+BLAS thread, so that its sums don't depend on the machine's cores. Scoring reads whole documents and has no BLAS
+in it: a document's score comes from its own bytes alone, whatever batch it is in.
 
 Defined results: a null or empty text is scored as one block of padding; repeated rows get the same score;
 with no labelled rows every score is 1, with labels of one kind that label; labels that contradict each other
@@ -16,8 +17,11 @@ count by their mean; no rows give no rows; columns other than the id and the tex
 
 from __future__ import annotations
 
+import ctypes
+import glob
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,26 +32,14 @@ from pyspark.sql import types as T
 
 from .common import fold, give_back, row_hash
 
-TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, SEED = 3000, 6000, 8, 64, 7
-BLOCK, GROUP, FILTERS, TAPS, HIDDEN = 64, 4, 16, 8, 12
-LAGS = range(3, 17)
-KINDS = 12
-
-
-def _kinds() -> np.ndarray:
-    out = np.zeros(256, np.uint8)
-    for b in range(256):
-        c = chr(b)
-        out[b] = 11 if b >= 128 else 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 5 if c == "\n" else 4 if c.isspace() else 6 if c == "." else 7 if c in ",;:" else 8 if c in "!?" else 9 if c in "'\"()-" else 10 if b > 32 and b != 127 else 0
-    return out
-
-
-KIND = _kinds()
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, SEED = 4000, 6000, 10, 64, 7
+BLOCK, GROUP, FILTERS, TAPS, HIDDEN, WIDTH = 64, 4, 24, 8, 16, 8
 
 
 @dataclass
 class Net:
-    taps: np.ndarray  # [TAPS, symbols, FILTERS]
+    bytes: np.ndarray  # [256, WIDTH], the embeddings
+    taps: np.ndarray  # [TAPS, WIDTH, FILTERS]
     bias: np.ndarray
     w1: np.ndarray
     b1: np.ndarray
@@ -58,30 +50,24 @@ class Net:
     def fresh(seed: int = SEED) -> "Net":
         r = np.random.default_rng(seed)
         g = lambda *s: r.normal(0, 1, s).astype(np.float32)
-        return Net(g(TAPS, 2 * KINDS, FILTERS) * 0.25, np.zeros(FILTERS, np.float32), g(2 * FILTERS, HIDDEN) * 0.3, np.zeros(HIDDEN, np.float32), g(HIDDEN) * 0.3, np.zeros(1, np.float32))
+        return Net(g(256, WIDTH) * 0.5, g(TAPS, WIDTH, FILTERS) * 0.25, np.zeros(FILTERS, np.float32), g(2 * FILTERS, HIDDEN) * 0.3, np.zeros(HIDDEN, np.float32), g(HIDDEN) * 0.3, np.zeros(1, np.float32))
 
 
 class Layout:
-    """Texts side by side, each from a multiple of BLOCK * GROUP on and followed by 32 bytes of padding at least."""
+    """Texts side by side, each from a multiple of BLOCK * GROUP on; after the last block that holds some of it (one at
+    least) lies so much padding that no filter there sees the next text."""
 
     def __init__(self, texts: list[bytes]):
         unit = BLOCK * GROUP
         sizes = np.array([len(t) for t in texts], np.int64)
-        self.units = (sizes + 32) // unit + 1
+        held = np.maximum(1, -(-sizes // BLOCK))
+        self.units = (held * BLOCK + TAPS) // unit + 1
         self.first = np.cumsum(self.units) - self.units
         raw = b"".join(t + bytes(int(u) * unit - len(t)) for t, u in zip(texts, self.units))
         x = np.frombuffer(raw, np.uint8)
-        four = np.zeros(len(x), np.uint32)
-        four[:-3] = x[:-3].astype(np.uint32) | x[1:-2].astype(np.uint32) << 8 | x[2:-1].astype(np.uint32) << 16 | x[3:].astype(np.uint32) << 24
-        again = np.zeros(len(x), bool)
-        for lag in LAGS:
-            again[lag:] |= four[lag:] == four[:-lag]
-        again &= x > 0
-        s = KIND[x] + KINDS * again.astype(np.uint8)
-        self.symbols = s
-        self.pairs = s[::2].astype(np.int32) * (2 * KINDS) + s[1::2]
-        # Blocks that hold text; the others are left out of the maxima. One at least for each document.
-        held = np.maximum(1, -(-sizes // BLOCK))
+        self.bytes = np.concatenate([x, np.zeros(TAPS, np.uint8)])
+        self.n = len(x) // 2  # places of the filters
+        # Blocks without text are left out of the maxima.
         nth = np.arange(int(self.units.sum()) * GROUP) - np.repeat(self.first * GROUP, self.units * GROUP)
         self.held = (nth < np.repeat(held, self.units * GROUP))[:, None]
         # Chunks that hold text: groups of GROUP blocks, each with the next one of its document.
@@ -91,34 +77,68 @@ class Layout:
         self.chunks = np.maximum(1, groups - 1)
 
 
-def forward(net: Net, at: Layout, keep: bool = False):
-    n = 2 * KINDS
-    tables = [(net.taps[2 * k][:, None, :] + net.taps[2 * k + 1][None, :, :]).reshape(n * n, FILTERS) for k in range(TAPS // 2)]
-    p = np.concatenate([at.pairs, np.zeros(TAPS // 2, np.int32)])
-    m = len(at.pairs)
-    h = tables[0][p[:m]] + net.bias
-    for k in range(1, TAPS // 2):
-        h += tables[k][p[k : k + m]]
-    np.maximum(h, 0, out=h)
+def one_thread():
+    """Sets numpy's BLAS to one thread where it is the library that numpy's own builds bring along."""
+    for path in glob.glob(str(Path(np.__file__).parent.parent / "numpy.libs" / "*openblas*")):
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib := ctypes.CDLL(path), name):
+                getattr(lib, name)(1)
+
+
+def tables(net: Net) -> np.ndarray:
+    """[TAPS, 256, FILTERS]: what each byte adds to the filters at each tap."""
+    out = np.zeros((TAPS, 256, FILTERS), np.float32)
+    for d in range(WIDTH):
+        out += net.bytes[None, :, d, None] * net.taps[:, None, d, :]
+    return out
+
+
+def _filtered(net: Net, at: Layout, found: np.ndarray) -> np.ndarray:
+    """The filters at each place by table: sums in the order of the taps."""
+    h = found[0][at.bytes[0 : 2 * at.n : 2]] + net.bias
+    for k in range(1, TAPS):
+        h += found[k][at.bytes[k : k + 2 * at.n : 2]]
+    return h
+
+
+def _pooled(at: Layout, h: np.ndarray):
+    """Filters at each place, rectified, to block means, maxima of groups and chunks, and each document's features."""
     blocks = h.reshape(-1, BLOCK // 2, FILTERS).mean(1) * at.held
     groups = blocks.reshape(-1, GROUP, FILTERS)
     top = groups.max(1)
     after = np.concatenate([top[1:], np.zeros((1, FILTERS), np.float32)])
-    ends = at.first + at.units - 1
-    after[ends] = 0
+    after[at.first + at.units - 1] = 0
     chunk = np.maximum(top, after) * at.chunk[:, None]
     mean = np.add.reduceat(chunk, at.first, axis=0) / at.chunks[:, None]
     most = np.maximum.reduceat(chunk, at.first, axis=0)
-    z = np.concatenate([mean, most], axis=1).astype(np.float32)
-    a = np.tanh(z @ net.w1 + net.b1)
-    logit = a @ net.w2 + net.b2[0]
-    if not keep:
-        return logit
-    return logit, (h, groups, top, after, chunk, most, z, a)
+    return groups, top, after, chunk, most, np.concatenate([mean, most], axis=1).astype(np.float32)
+
+
+def forward(net: Net, at: Layout, found: np.ndarray | None = None) -> np.ndarray:
+    """Logits of the texts, without BLAS: the same for a text in any batch."""
+    h = _filtered(net, at, tables(net) if found is None else found)
+    z = _pooled(at, np.maximum(h, 0, out=h))[-1]
+    a = np.zeros((len(z), HIDDEN), np.float32) + net.b1
+    for i in range(2 * FILTERS):
+        a += z[:, i, None] * net.w1[i]
+    a = np.tanh(a)
+    logit = np.zeros(len(z), np.float32) + net.b2[0]
+    for i in range(HIDDEN):
+        logit += a[:, i] * net.w2[i]
+    return logit
 
 
 def gradient(net: Net, at: Layout, labels: np.ndarray) -> list[np.ndarray]:
-    logit, (h, groups, top, after, chunk, most, z, a) = forward(net, at, keep=True)
+    # Two bytes a row: a filter's taps at a place are TAPS / 2 rows from there on.
+    pairs, taps, m = net.bytes[at.bytes].reshape(-1, 2 * WIDTH), net.taps.reshape(TAPS // 2, 2 * WIDTH, FILTERS), at.n
+    h = pairs[:m] @ taps[0]
+    for j in range(1, TAPS // 2):
+        h += pairs[j : j + m] @ taps[j]
+    h += net.bias
+    np.maximum(h, 0, out=h)
+    groups, top, after, chunk, most, z = _pooled(at, h)
+    a = np.tanh(z @ net.w1 + net.b1)
+    logit = a @ net.w2 + net.b2[0]
     d = (1 / (1 + np.exp(-logit)) - labels).astype(np.float32) / len(labels)
     dw2, db2 = a.T @ d, np.array([d.sum()], np.float32)
     da = d[:, None] * net.w2 * (1 - a * a)
@@ -133,19 +153,21 @@ def gradient(net: Net, at: Layout, labels: np.ndarray) -> list[np.ndarray]:
     dtop[1:] += dafter[:-1]
     best = groups == top[:, None, :]
     dgroups = best * (dtop / best.sum(1))[:, None, :]
-    dblocks = dgroups.reshape(-1, FILTERS) * at.held
-    dh = np.repeat(dblocks / (BLOCK // 2), BLOCK // 2, axis=0)
+    dblocks = (dgroups.reshape(-1, FILTERS) * at.held).astype(np.float32)
+    dh = np.repeat(dblocks / np.float32(BLOCK // 2), BLOCK // 2, axis=0)
     dh *= h > 0
-    eye = np.eye(2 * KINDS, dtype=np.float32)
-    live = np.flatnonzero(dh.any(1))
-    dh = dh[live]
-    s = np.concatenate([at.symbols, np.zeros(TAPS, np.uint8)])
-    dtaps = np.stack([eye[s[2 * live + k]].T @ dh for k in range(TAPS)])
-    return [dtaps, dh.sum(0), dw1, db1, dw2, db2]
+    each = np.zeros_like(pairs)
+    for j in range(TAPS // 2):
+        each[j : j + m] += dh @ taps[j].T
+    dtaps = np.stack([pairs[j : j + m].T @ dh for j in range(TAPS // 2)]).reshape(TAPS, WIDTH, FILTERS)
+    each = each.reshape(-1, WIDTH)
+    dbytes = np.stack([np.bincount(at.bytes, weights=each[:, i], minlength=256) for i in range(WIDTH)], axis=1).astype(np.float32)
+    return [dbytes, dtaps, dh.sum(0), dw1, db1, dw2, db2]
 
 
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Net:
     """Adam on the mean log loss, with a fixed order of draws: the same rows give the same network."""
+    one_thread()
     net, r = Net.fresh(seed), np.random.default_rng(seed)
     names = [f.name for f in fields(Net)]
     m1, m2, t = [np.zeros_like(getattr(net, n)) for n in names], [np.zeros_like(getattr(net, n)) for n in names], 0
