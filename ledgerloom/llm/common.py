@@ -39,6 +39,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the folder of a table from `stored` that no table still to be read comes from."""
+    spark = df.sparkSession
+    folder = df.inputFiles()
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def give_back() -> None:
     """Returns Arrow's unused memory to the system: a worker that ended a batch keeps it else, beside its executor."""
     pa.default_memory_pool().release_unused()

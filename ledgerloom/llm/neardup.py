@@ -35,10 +35,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, stored
+from .common import give_back, removed, stored
 
 WORDS, TREES, PER_TREE, DEPTHS, REGION, BROADCAST_ROWS = 5, 20, 6, (3, 6, 12), 32, 300_000
-POSTED, CHUNK = 32, 512  # nodes of a shingle that are paired in one row, and in one of several chunks
+POSTED, CHUNK, HOT = 32, 512, 100_000  # nodes of a shingle that are paired in one row, and in one of several chunks
 VALUES = TREES * PER_TREE
 #: A link needs PART * |intersection| >= WHOLE * |union|.
 PART, WHOLE = 100, 75
@@ -108,8 +108,8 @@ def prefixes(values: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-SETS = "doc_id bigint, node bigint, n_shingles bigint, k0 array<bigint>, k1 array<bigint>, k2 array<bigint>, sketch binary"
-_SETS = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), *((f"k{i}", pa.list_(pa.int64())) for i in range(3)), ("sketch", pa.binary())])
+SETS = "doc_id bigint, text_hash bigint, node bigint, n_shingles bigint, k0 array<bigint>, k1 array<bigint>, k2 array<bigint>, sketch binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), *((f"k{i}", pa.list_(pa.int64())) for i in range(3)), ("sketch", pa.binary())])
 
 
 def node_of(found: np.ndarray) -> int:
@@ -119,13 +119,13 @@ def node_of(found: np.ndarray) -> int:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        for doc, text in zip(batch["doc_id"], batch["text"]):
+        for doc, own, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
             found = shingles(normal(text.as_py()))
             if len(found):
                 values = signature(found)
-                out.append((doc.as_py(), node_of(found), len(found), *prefixes(values), (values & 255).astype(np.uint8).tobytes()))
+                out.append((doc.as_py(), own.as_py(), node_of(found), len(found), *prefixes(values), (values & 255).astype(np.uint8).tobytes()))
             else:
-                out.append((doc.as_py(), None, 0, None, None, None, None))
+                out.append((doc.as_py(), own.as_py(), None, 0, None, None, None, None))
             if len(out) == 1000:
                 yield _rows(out)
                 out = []
@@ -139,14 +139,12 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Normal texts, compressed, of the rows whose set is the node that is asked for."""
+    """Normal texts, compressed."""
     small = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            nodes, words = part["node"].to_pylist(), [normal(t) for t in part["text"].to_pylist()]
-            good = [(n, small.compress(w)) for n, w in zip(nodes, words) if w and node_of(shingles(w)) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.binary())], names=["node", "words"])
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array([small.compress(normal(t)) for t in part["text"].to_pylist()], pa.binary())], names=["node", "words"])
 
 
 def _ordered(a, b) -> tuple:
@@ -313,26 +311,32 @@ def components(links: DataFrame) -> DataFrame:
         nearer = stored(labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")), "near-labels")
         jump = nearer.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = stored(nearer.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "near-labels")
-        if new.where("label < old").isEmpty():
-            return new.select("node", "label")
+        for past in (labels, nearer):
+            removed(past)
         labels = new.select("node", "label")
+        if new.where("label < old").isEmpty():
+            removed(both)
+            return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # A row is known by its id and its text: many rows may share either.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     sets = stored(rows.mapInArrow(_sets, SETS), "near-sets")
-    own = F.coalesce("doc_id", F.lit(-(2**63))).alias("own")
-    owners = stored(sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(own).alias("own")), "near-owners")
-    first = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(3)), F.first("sketch").alias("sketch"))
+    own = F.coalesce("doc_id", F.lit(-(2**63)))
+    held = sets.where(F.col("node").isNotNull())
+    owners = held.groupBy("node").agg(F.min(F.struct(own.alias("own"), "text_hash")).alias("by"), F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    owners = stored(owners.select("node", "by.own", "by.text_hash", "first_id", "n"), "near-owners")
+    first = held.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(3)), F.first("sketch").alias("sketch"))
     nodes = stored(first, "near-nodes")
     met, crowd = candidates(nodes)
     pairs = stored(likely(met, nodes), "near-likely")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd).distinct().join(owners, "node")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd).distinct().join(owners, "node").select("node", "own", "text_hash")
     wanted = stored(wanted, "near-wanted")
     if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)  # else texts are shuffled by id
-    texts = stored(rows.select(own, "text").join(wanted, "own").select("node", "text").mapInArrow(_named, "node bigint, words binary").dropDuplicates(["node"]), "near-texts")
+        wanted = F.broadcast(wanted)  # else texts are shuffled by id and text
+    texts = stored(rows.select(own.alias("own"), "text_hash", "text").join(wanted, ["own", "text_hash"]).select("node", "text").mapInArrow(_named, "node bigint, words binary").dropDuplicates(["node"]), "near-texts")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("match", "a")).alias("a"))
     sure = confirmed(best.select("a", "b"), texts)
     trees = components(sure)
@@ -344,11 +348,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
     if not crowd.isEmpty():
         labels = components(links.unionByName(crowded(crowd, nodes, labels, texts)))
-    member = stored(sets.select("doc_id", "node", "n_shingles").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")), "near-members")
-    smallest = member.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    done = member.join(smallest, "group", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    # Components are settled on nodes; a node has any number of copies, a component any number of nodes.
+    grouped = stored(owners.join(labels, "node", "left").select("node", "first_id", "n", F.coalesce("label", "node").alias("group")), "near-groups")
+    smallest = grouped.groupBy("group").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("rows"), F.count("*").alias("n")).where("rows > 1").drop("rows")
+    named = beside(grouped.select("node", "group", F.col("n").alias("copies")), stored(smallest, "near-smallest"), "group").where("component_id is not null")
+    named = stored(named.select("node", "component_id", F.col("copies").alias("n")), "near-named")
+    done = beside(sets.select("doc_id", "node", "n_shingles"), named, "node").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return done.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def beside(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows with `found` beside them where it has their key. `found` has each key once, with n, its number of rows.
+
+    A small table is broadcast; of a large one only the keys of more than HOT rows are, which are few, so that no key's
+    rows gather in one task. Rows without a key stay where they are."""
+    columns = [c for c in found.columns if c not in (key, "n")]
+    if found.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found.drop("n")), key, "left")
+    hot = F.broadcast(found.where(F.col("n") > HOT).drop("n"))
+    many, rest = rows.join(hot, key), rows.join(hot.select(key), key, "left_anti")
+    none = rest.where(F.col(key).isNull()).withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in columns})
+    return many.unionByName(rest.where(F.col(key).isNotNull()).join(found.drop("n"), key, "left")).unionByName(none)
+
+
 def op5_neardup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

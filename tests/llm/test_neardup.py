@@ -90,3 +90,22 @@ def test_edges(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
     again = neardup.near_duplicates(df.where("doc_id = 6").unionByName(df.where("doc_id = 6"))).collect()
     assert [(r.doc_id, r.component_id, r.kept) for r in again] == [(6, 6, True)] * 2
+
+
+def test_rows_that_share_an_id(spark):
+    """Many rows with a null id, and many texts of one id: each text meets its own node alone."""
+    rng = np.random.default_rng(2)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 10**6, 40))
+    texts = [text() for _ in range(120)]
+    docs = [(None, t) for t in texts] + [(7, t + " more") for t in texts] + [(8, texts[0])]
+    rows = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert len(rows) == len(docs)
+    assert sum(r.component_id == 7 for r in rows) >= 239 and sum(r.component_id is None for r in rows) == 0
+
+
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(neardup, "HOT", 3)
+    word = lambda n, k: " ".join(f"w{(i * k) % 9973}" for i in range(n))
+    docs = [(i, word(60, 3)) for i in range(9)] + [(20 + i, word(60, 3) + f" x{i}") for i in range(5)] + [(30, None), (31, ""), (32, word(50, 7)), (33, word(50, 7)), (34, word(9, 11))]
+    assert run(spark.createDataFrame(docs, "doc_id bigint, text string")) == brute(docs)
