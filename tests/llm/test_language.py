@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import language as L
 
@@ -22,17 +23,51 @@ def brute_phrases(sample, text):
 def test_automaton_against_substring_search():
     rng = np.random.default_rng(0)
     sample = bytes(rng.integers(97, 101, 400).astype(np.uint8))
-    table = L.automaton(L.classes([sample])[0])
+    table = L.Automaton(L.classes([sample])[0])
     texts = [bytes(rng.integers(97, 102, n).astype(np.uint8)) for n in (0, 1, 7, 300, 511)]
     got, _ = L.parse([table], texts)
     assert got[:, 0].tolist() == [brute_phrases(sample, t) for t in texts]
 
 
-def test_strips_cut_phrases_only_at_their_ends():
+def test_phrases_go_on_over_strips(monkeypatch):
+    """Random texts, texts that are long pieces of the sample (phrases longer than a strip), and bytes it lacks."""
     rng = np.random.default_rng(1)
-    sample, text = bytes(rng.integers(97, 101, 900).astype(np.uint8)), bytes(rng.integers(97, 102, 1300).astype(np.uint8))
-    got, sizes = L.parse([L.automaton(L.classes([sample])[0])], [text])
-    assert got[0, 0] == sum(brute_phrases(sample, text[i : i + L.STRIP]) for i in range(0, len(text), L.STRIP)) and sizes[0] == 1300
+    sample = bytes(rng.integers(97, 101, 3000).astype(np.uint8))
+    texts = [bytes(rng.integers(97, 102, n).astype(np.uint8)) for n in (512, 513, 1300, 5000)]
+    texts += [sample[100:2900], sample[:1500] + b"z" * 700 + sample[700:], sample * 3, b"zz" * 600, (sample[5:700] + b"q") * 5]
+    for strip in (512, 7):
+        monkeypatch.setattr(L, "STRIP", strip)
+        got, sizes = L.parse([L.Automaton(L.classes([sample])[0])], texts)
+        assert got[:, 0].tolist() == [brute_phrases(sample, t) for t in texts] and sizes.tolist() == [len(t) for t in texts]
+
+
+def test_the_query_against_substring_search(spark, sf):
+    """op8 on whole texts: fewest phrases a byte by plain search, ties to the first language."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    samples = L.samples(docs.where(~held), "doc_id", "text", "lang")
+    codes = {k: L.classes([v])[0].tobytes() for k, v in samples.items()}
+    rows = {r.doc_id: r for r in L.op8_language(spark, sf).collect()}
+    texts = sorted(((r.text or "", r.doc_id) for r in docs.collect()), key=lambda r: len(r[0]))
+    assert len(rows) == len(texts)
+    for text, i in texts[:90:9]:
+        whole = L.classes([text.encode()])[0].tobytes()
+        if not any(c.isalpha() for c in text):
+            assert rows[i].lang_pred == "und"
+            continue
+        n = {k: brute_phrases(v, whole) for k, v in codes.items()}
+        assert rows[i].lang_pred == min(sorted(n), key=n.get) and abs(rows[i].phrases_per_kb - 1000 * min(n.values()) / len(whole)) < 1e-9
+
+
+def test_ties_go_to_the_first_language(spark):
+    df = spark.createDataFrame([(1, "same words here", "b"), (2, "same words here", "a"), (3, "same words", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in L.identify(df, L.learn(df, "doc_id", "text", "lang")).collect()} == {"a"}
+
+
+def test_many_languages_share_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(L, "ALL_BYTES", 100)
+    df = spark.createDataFrame([(i, "abcdefgh " * 20, f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    assert {len(v) for v in L.samples(df, "doc_id", "text", "lang").values()} == {25}
 
 
 def test_classes_of_many_texts_are_those_of_each():
