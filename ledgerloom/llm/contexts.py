@@ -8,13 +8,13 @@ decision's probability mixes the estimates of all depths by these weights. A nod
 takes no part: the deepest node on the way that was reached has the rest of the weight, so that a context that
 is new at some depth is predicted from what is known of its nearer bytes.
 
-Counts come from all training texts. Documents are dealt to blocks of about `BLOCK_BYTES`; a block sends its
-distinct contexts with their counts, not its positions, to shards by the two nearest bytes. A shard sums the
-counts and weighs the nodes of depth two and more. What the depths below need of the shards is a table of at most
-256 x 255 nodes, which the driver combines: it's bounded by the alphabet. Shards then answer each block with the
-probability of each of its distinct contexts, and blocks add up their documents. Blocks and shards are as many
-as the corpus needs, each of bounded size; no model of the whole corpus is ever in one place. Word counts for
-the base score go the same way, by 64-bit hashes of words.
+Counts come from all training texts. Each task gathers its documents to blocks of about `BLOCK_BYTES`; a block keeps
+its texts as one compressed row, and sends its distinct contexts with their counts, not its positions, to shards by
+the two nearest bytes. A shard sums the counts and weighs the nodes of depth two and more, those of some pairs of
+nearest bytes at a time. What the depths below need of the shards is a table of at most 256 x 255 nodes, which the
+driver combines: it's bounded by the alphabet. Shards then answer each block with the probability of each of its
+distinct contexts, and blocks add up their documents. Blocks and shards are as many as the corpus needs; no model of
+the whole corpus is ever in one place. Word counts for the base score go the same way, by 64-bit hashes of words.
 
 Defined results: null texts are empty and have one token, the end; repeated rows are scored each and, if in the
 training fold, counted each; with no training rows the model is uniform over bits; no rows give no rows; a null
@@ -30,10 +30,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored
+from .common import fold, give_back, scratch
 
 DEPTH, BLOCK_BYTES, BLOCKS_A_SHARD = 6, 6 << 20, 6
 END = 10
@@ -102,6 +103,18 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
+def _apart(keys: np.ndarray, most: int = 1 << 18) -> Iterator[slice]:
+    """Parts of a shard's sorted keys that share no pair of nearest bytes: their nodes of depth two and more are apart."""
+    edges = np.flatnonzero(np.diff(keys >> np.uint64(8 * (DEPTH - 1)), prepend=~np.uint64(0))) if len(keys) else np.zeros(0, np.int64)
+    lo = 0
+    for at, end in zip(edges, [*edges[1:], len(keys)]):
+        if end - lo > most and at > lo:
+            yield slice(lo, at)
+            lo = at
+    if lo < len(keys):
+        yield slice(lo, len(keys))
+
+
 class Tree:
     """The nodes of depth LOW and more of a shard: sorted distinct keys and their counts, which may be 0."""
 
@@ -209,6 +222,7 @@ class Root:
 
 ROWS = "block bigint, kind string, shard int, keys binary, counts binary"
 _ROWS = pa.schema([("block", pa.int64()), ("kind", pa.string()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_DOCS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("length", pa.int64())])
 
 
 def _distinct(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,38 +255,59 @@ def _block_words(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return found[order], rank[index]
 
 
-def _open_block(rows: pa.Table, shared: bytes):
-    """The block's documents in an order that any run repeats: ids, held-out flags, words and byte sequences."""
-    big = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared))
-    docs = [(i, h, big.decompress(z)) for i, h, z in zip(rows["doc_id"].to_pylist(), rows["held_out"].to_pylist(), rows["words"].to_pylist())]
-    docs.sort(key=lambda d: (d[0] is None, d[0] or 0, d[2]))
-    return [d[0] for d in docs], np.array([d[1] for d in docs], bool), [d[2] for d in docs]
-
-
-def _gather(shards: int, shared: bytes):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        block = key[0].as_py()
-        _, held, texts = _open_block(rows, shared)
-        out = []
-
-        def send(kind: str, keys: np.ndarray, counts: np.ndarray, at: np.ndarray) -> None:
-            order = np.argsort(at, kind="stable")
-            edges = np.flatnonzero(np.diff(at[order], prepend=-1))
-            for lo, hi in zip(edges, [*edges[1:], len(order)]):
-                pick = order[lo:hi]
-                out.append({"block": block, "kind": kind, "shard": int(at[pick[0]]), "keys": _squeeze(keys[pick]), "counts": _pack(counts[pick])})
-
-        found = grams(texts)
-        keys, _ = _distinct(found)
-        own, n = _distinct(found[np.repeat(~held, [len(t) for t in texts])])
-        counts = np.zeros(len(keys), np.uint32)
-        counts[np.searchsorted(keys, own)] = n
-        send("gram", keys, counts, shard_of(keys, shards))
-        split = [t[:-1].split(b" ") if len(t) > 1 else [] for t in texts]
-        keys, index = _block_words(split)
-        counts = np.bincount(index[np.repeat(~held, [len(s) + 1 for s in split])], minlength=len(keys)).astype(np.uint32)
-        send("word", keys, counts, ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64))
-        return pa.Table.from_pylist(out, schema=_ROWS)
+def _open_block(row: dict):
+    """The block's documents in their order: ids, held-out flags and byte sequences."""
+    docs, whole = pa.ipc.open_stream(row["counts"]).read_all(), zstandard.ZstdDecompressor().decompress(row["keys"])
+    ends = np.cumsum(docs["length"].to_numpy())
+    return docs["doc_id"].to_pylist(), docs["held_out"].to_numpy(), [whole[e - n : e] for e, n in zip(ends.tolist(), docs["length"].to_pylist())]
+
+
+def _block(block: int, shards: int, ids: list, held: list[bool], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The rows of a block: its documents, and its distinct contexts and words with their counts, by shard."""
+    lengths = [len(t) for t in texts]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _DOCS) as w:
+        w.write_batch(pa.record_batch([pa.array(ids, pa.int64()), pa.array(held), pa.array(lengths, pa.int64())], schema=_DOCS))
+    whole = zstandard.ZstdCompressor(level=9).compress(b"".join(texts))
+    yield pa.RecordBatch.from_pylist([{"block": block, "kind": "docs", "shard": -1, "keys": whole, "counts": sink.getvalue().to_pybytes()}], schema=_ROWS)
+    trains = ~np.array(held, bool)
+
+    def sent(kind: str, keys: np.ndarray, counts: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(at, kind="stable")
+        edges = np.flatnonzero(np.diff(at[order], prepend=-1))
+        picks = [order[lo:hi] for lo, hi in zip(edges, [*edges[1:], len(order)])]
+        return pa.RecordBatch.from_pylist([{"block": block, "kind": kind, "shard": int(at[p[0]]), "keys": _squeeze(keys[p]), "counts": _pack(counts[p])} for p in picks], schema=_ROWS)
+
+    found = grams(texts)
+    keys, _ = _distinct(found)
+    own, n = _distinct(found[np.repeat(trains, lengths)])
+    counts = np.zeros(len(keys), np.uint32)  # a block's bytes are fewer than 2**32
+    counts[np.searchsorted(keys, own)] = n
+    del found, own, n
+    yield sent("gram", keys, counts, shard_of(keys, shards))
+    split = [t[:-1].split(b" ") if len(t) > 1 else [] for t in texts]
+    keys, index = _block_words(split)
+    counts = np.bincount(index[np.repeat(trains, [len(s) + 1 for s in split])], minlength=len(keys)).astype(np.uint32)
+    yield sent("word", keys, counts, ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64))
+
+
+def _gather(shards: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nth, ids, held, texts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                for i, h, t in zip(some["doc_id"].to_pylist(), some["held_out"].to_pylist(), some["text"].to_pylist()):
+                    ids.append(i)
+                    held.append(h)
+                    texts.append(b" ".join(tokens(t)) + b"\n")
+                    size += len(texts[-1])
+                    if size >= most:
+                        yield from _block(part << 32 | nth, shards, ids, held, texts)
+                        nth, ids, held, texts, size = nth + 1, [], [], [], 0
+                        give_back()
+        if ids:
+            yield from _block(part << 32 | nth, shards, ids, held, texts)
 
     return run
 
@@ -296,13 +331,14 @@ def _shallow(key: tuple, rows: pa.Table) -> pa.Table:
     keys, counts = _summed(rows)
     if key[1].as_py() == "word":
         return pa.table({"near": [-1, -1], "node": [0, 1], "n": [int(counts.sum()), int((counts > 0).sum())], "log": [0.0, 0.0]}, schema=_SHALLOW)
-    tree = Tree(keys, counts)
-    two, c = tree.levels[2][:2]
-    near, byte = (two >> np.uint64(16)).astype(np.int64), (two & np.uint64(255)).astype(np.int64)
-    n = np.bincount(near << 8 | byte, weights=c, minlength=1 << 16).astype(np.int64)
-    logs = np.zeros(1 << 16)
-    for bit, (first, weighted) in enumerate(tree.logs):
-        logs += np.bincount(near[first] << 8 | ((256 | byte[first]) >> (8 - bit)), weights=weighted, minlength=1 << 16)
+    n, logs = np.zeros(1 << 16, np.int64), np.zeros(1 << 16)
+    for part in _apart(keys):
+        tree = Tree(keys[part], counts[part])
+        two, c = tree.levels[2][:2]
+        near, byte = (two >> np.uint64(16)).astype(np.int64), (two & np.uint64(255)).astype(np.int64)
+        n += np.bincount(near << 8 | byte, weights=c, minlength=1 << 16).astype(np.int64)
+        for bit, (first, weighted) in enumerate(tree.logs):
+            logs += np.bincount(near[first] << 8 | ((256 | byte[first]) >> (8 - bit)), weights=weighted, minlength=1 << 16)
     i, j = np.flatnonzero(n), np.flatnonzero(logs)
     return pa.table({"near": np.concatenate([i >> 8, j >> 8]).astype(np.int32), "node": np.concatenate([(i & 255) + 256, j & 255]).astype(np.int32), "n": np.concatenate([n[i], np.zeros(len(j), np.int64)]), "log": np.concatenate([np.zeros(len(i)), logs[j]])}, schema=_SHALLOW)
 
@@ -310,8 +346,12 @@ def _shallow(key: tuple, rows: pa.Table) -> pa.Table:
 def _answer(root: Root):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         keys, counts = _summed(rows)
-        word = key[1].as_py() == "word"
-        values = counts.astype(np.uint32) if word else root.mix(keys, Tree(keys, counts).bits()).astype(np.float32)
+        if key[1].as_py() == "word":
+            values = counts.astype(np.uint64)
+        else:
+            values = np.empty(len(keys), np.float32)
+            for part in _apart(keys):
+                values[part] = root.mix(keys[part], Tree(keys[part], counts[part]).bits())
         out = []
         for block, raw in zip(rows["block"].to_pylist(), rows["keys"].to_pylist()):
             out.append({"block": block, "kind": key[1].as_py(), "shard": key[0].as_py(), "keys": None, "counts": _pack(values[np.searchsorted(keys, _unsqueeze(raw))])})
@@ -324,9 +364,9 @@ SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_model_bytes", pa.int64())])
 
 
-def _score(shards: int, n_train: int, n_distinct: int, shared: bytes):
+def _score(shards: int, n_train: int, n_distinct: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, held, texts = _open_block(docs, shared)
+        ids, held, texts = _open_block(docs.to_pylist()[0])
         got = {(k, s): raw for k, s, raw in zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers["counts"].to_pylist())}
 
         def values(kind: str, at: np.ndarray, dtype: str) -> np.ndarray:
@@ -340,7 +380,7 @@ def _score(shards: int, n_train: int, n_distinct: int, shared: bytes):
         score = _sums(found, n_bytes, keys, values("gram", shard_of(keys, shards), "<f4").astype(float))
         split = [t[:-1].split(b" ") if len(t) > 1 else [] for t in texts]
         keys, index = _block_words(split)
-        c = values("word", ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64), "<u4")[index].astype(float)
+        c = values("word", ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64), "<u8")[index].astype(float)
         n = np.array([len(s) + 1 for s in split])
         first = np.cumsum(n) - n
         base = np.add.reduceat(np.log10((c + 1) / (n_train + n_distinct + 1)), first)
@@ -350,38 +390,17 @@ def _score(shards: int, n_train: int, n_distinct: int, shared: bytes):
     return run
 
 
-def _shared(rows: DataFrame) -> bytes:
-    """A dictionary that compresses short texts better; it has no part in the scores."""
-    some = [b" ".join(tokens(r["t"])) for r in rows.where("text is not null").select(F.substring("text", 1, 4000).alias("t")).limit(2000).collect()]
-    try:
-        return zstandard.train_dictionary(64 << 10, some).as_bytes()
-    except zstandard.ZstdError:  # too few texts
-        return b""
-
-
-def _words(shared: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(shared))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                words = [small.compress(b" ".join(tokens(t)) + b"\n") for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], part["block"], pa.array(words, pa.binary())], names=["doc_id", "held_out", "block", "words"])
-
-    return run
-
-
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all documents by the model of those for which the column `held_out` is false."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = int(size // BLOCK_BYTES) + 1
-    shards = max(4, blocks // BLOCKS_A_SHARD)
-    shared = _shared(rows)
-    # A block is known by ids and texts: copies of a text with one id stay together, copies with others spread.
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(_words(shared), "doc_id bigint, held_out boolean, block bigint, words binary")
-    sent = stored(dealt.groupBy("block").applyInArrow(_gather(shards, shared), ROWS), "ctw-sent")
-    parts = sent.groupBy("shard", "kind")
+    shards = max(4, int(size // BLOCK_BYTES + 1) // BLOCKS_A_SHARD)
+    # Blocks are written before they are numbered by what comes after: a task that runs again changes nothing.
+    path = scratch(spark, "ctw-sent")
+    rows.mapInArrow(_gather(shards, BLOCK_BYTES), ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    sent = spark.read.schema(ROWS).parquet(path)
+    parts = sent.where("kind != 'docs'").groupBy("shard", "kind")
     few = parts.applyInArrow(_shallow, SHALLOW).groupBy("near", "node").agg(F.sum("n").alias("n"), F.sum("log").alias("log")).collect()
     counts, below, n_train, n_distinct = np.zeros((256, 256)), np.zeros((256, 256)), 0, 0
     for near, node, n, logs in few:
@@ -392,7 +411,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         else:
             below[near, node] = logs
     answers = parts.applyInArrow(_answer(Root(counts, below)), ROWS)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, n_train, n_distinct, shared), SCORES)
+    return sent.where("kind = 'docs'").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, n_train, n_distinct), SCORES)
 
 
 def op1_ctw(spark, sf_dir: str) -> DataFrame:

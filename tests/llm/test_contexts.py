@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,60 @@ def test_repeated_rows_and_no_rows(spark):
     assert none[0].score == pytest.approx(-8 * none[0].n_model_bytes * math.log10(2))
 
 
+def test_counts_beyond_32_bits():
+    """What blocks count is summed in 64 bits, and a shard's answer holds it."""
+    rows = pa.Table.from_pylist([{"block": b, "kind": "word", "shard": 0, "keys": C._squeeze(np.array([7], np.uint64)), "counts": C._pack(np.array([2**32 - 1], np.uint32))} for b in range(3)], schema=C._ROWS)
+    out = C._answer(None)((pa.scalar(0), pa.scalar("word")), rows).to_pylist()
+    assert [C._unpack(r["counts"], "<u8").tolist() for r in out] == [[3 * (2**32 - 1)]] * 3
+
+
+def test_parts_of_a_shard_are_apart():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 20, 5000).astype(np.uint64) << np.uint64(36) | rng.integers(0, 1 << 36, 5000).astype(np.uint64))
+    counts = rng.integers(0, 9, len(keys))
+    parts = list(C._apart(keys, 300))
+    assert len(parts) > 5 and [p.start for p in parts[1:]] == [p.stop for p in parts[:-1]] and parts[-1].stop == len(keys)
+    whole = C.Tree(keys, counts).bits()
+    for i, p in enumerate(parts):
+        for (p0, s0), (p1, s1) in zip(whole, C.Tree(keys[p], counts[p]).bits()):
+            assert np.array_equal(p0[p], p1) and np.array_equal(s0[p], s1)
+
+
+def test_the_query_on_whole_texts(spark, sf, monkeypatch):
+    """op1 on all rows and whole texts: the contract's columns by counting; scores by the tree in one piece."""
+    monkeypatch.setattr(C, "BLOCK_BYTES", 60_000)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in C.op1_ctw(spark, sf).collect()}
+    assert len(got) == len(docs)
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
+    words = lambda t: [*C.tokens(t), b""]
+    n = Counter(w for i, t in docs if not held[i] for w in words(t))
+    total, distinct = sum(n.values()), len(n)
+    texts = [bytes_of(t) for _, t in docs]
+    found = C.grams(texts)
+    keys = np.unique(found)
+    own, times = np.unique(found[np.repeat([not held[i] for i, _ in docs], [len(t) for t in texts])], return_counts=True)
+    counts = np.zeros(len(keys), np.int64)
+    counts[np.searchsorted(keys, own)] = times
+    tree = C.Tree(keys, counts, low=0)
+    logs = np.zeros(len(keys))
+    for bit, (p, seen) in enumerate(tree.bits()):
+        one = (keys >> np.uint64(7 - bit)) & np.uint64(1)
+        logs += np.log10(np.where(seen, p, 0.5)) + 0 * one
+    scores = np.add.reduceat(logs[np.searchsorted(keys, found)], np.cumsum([0, *(len(t) for t in texts[:-1])]))
+    for (i, t), s in zip(docs, scores):
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(words(t)), sum(n[w] > 0 for w in words(t)), total)
+        assert r.base_score == pytest.approx(sum(math.log10((n[w] + 1) / (total + distinct + 1)) for w in words(t)), rel=1e-9)
+        assert r.score == pytest.approx(s, rel=1e-4, abs=1e-3)
+
+
+def test_a_very_long_text(spark):
+    docs = [(1, "ab cd " * 100_000), (2, "ab cd")]
+    rows = {r.doc_id: r for r in C.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") == 2).collect()}
+    assert rows[1].n_tokens == 200_001 and rows[2].n_known == 3 and rows[1].score > rows[1].base_score / 1000
+
+
 def test_sixth_byte_of_context_is_used(spark):
     """The last letter of each word is known from its first one, six bytes before."""
     rng = np.random.default_rng(2)
