@@ -6,8 +6,10 @@ by Spark's text writer and compressed, one record a row with CRLF between rows,
 shared folder is in, and a lost task is written again as a whole. They are read as whole files, which the
 writer keeps near `file_bytes`, and records are cut by their Content-Length alone: a payload may hold anything.
 
+Files are compressed as one gzip member each, which readers take from its start; they can't be entered at an offset.
+
 Defined results: a null payload is an empty one; every row is a capture, repeated rows too (rows that share
-the smallest id of a payload are all responses); a null url gets no target URI; no rows give no rows; further
+the smallest id of a payload are all responses); a capture without an id is named by its row; a null url gets no target URI; no rows give no rows; further
 columns of the input are ignored. Records without partners give a capture with the missing parts null.
 """
 
@@ -54,9 +56,11 @@ def write_archives(captures: DataFrame, path: str, file_bytes: int = FILE_BYTES,
     total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     files = int((total[0] + 1500 * total[1]) // file_bytes + 1)
     # A null id can't be anyone's first, nor revisit: such rows are responses.
-    full = rows.repartition(files, "id").join(revisits, ["id", "digest"], "left").withColumn("again", F.col("first").isNotNull())
-    urn = lambda kind, key: F.concat(F.lit(f"<urn:{kind}:"), F.coalesce(key.cast("string"), F.lit("none")), F.lit(">"))
-    answer, when = urn("capture", F.col("id")), F.lit(f"WARC-Date: {date}")
+    dealt = rows.withColumn("key", F.coalesce("id", F.xxhash64("url", "digest"))).repartition(files, "key")
+    full = dealt.join(revisits.withColumnRenamed("id", "key"), ["key", "digest"], "left").withColumn("again", F.col("id").isNotNull() & F.col("first").isNotNull())
+    full = full.withColumn("name", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("none-"), F.monotonically_increasing_id().cast("string"))))
+    urn = lambda kind, key: F.concat(F.lit(f"<urn:{kind}:"), key.cast("string"), F.lit(">"))
+    answer, when = urn("capture", F.col("name")), F.lit(f"WARC-Date: {date}")
     target = F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", ""))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"))
     status = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
@@ -65,8 +69,8 @@ def write_archives(captures: DataFrame, path: str, file_bytes: int = FILE_BYTES,
         _record(F.lit("revisit"), answer, [when, target, digest, F.concat(F.lit("WARC-Refers-To: "), urn("capture", F.col("first"))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), F.lit("Content-Type: application/http;msgtype=response")], status),
     ).otherwise(_record(F.lit("response"), answer, [when, target, digest, F.lit("Content-Type: application/http;msgtype=response")], F.concat(status, F.col("payload"))))
     beside = F.concat(F.lit("WARC-Concurrent-To: "), answer)
-    request = _record(F.lit("request"), urn("request", F.col("id")), [when, target, beside, F.lit("Content-Type: application/http;msgtype=request")], F.concat(F.lit("GET / HTTP/1.1" + CRLF + "Accept: text/html" + CRLF * 2)))
-    metadata = _record(F.lit("metadata"), urn("metadata", F.col("id")), [when, target, beside, F.lit("Content-Type: application/warc-fields")], F.concat(F.lit("captureId: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(CRLF)))
+    request = _record(F.lit("request"), urn("request", F.col("name")), [when, target, beside, F.lit("Content-Type: application/http;msgtype=request")], F.concat(F.lit("GET / HTTP/1.1" + CRLF + "Accept: text/html" + CRLF * 2)))
+    metadata = _record(F.lit("metadata"), urn("metadata", F.col("name")), [when, target, beside, F.lit("Content-Type: application/warc-fields")], F.concat(F.lit("captureId: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(CRLF)))
     records = full.select(F.explode(F.array(request, response, metadata)).alias("value"))
     # Parts of a file's records may lie in any order and, on a re-run, in another: records are found by their ids.
     records.write.option("lineSep", CRLF).option("compression", "gzip").text(path)

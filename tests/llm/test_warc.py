@@ -25,8 +25,8 @@ def test_round_trip(spark):
     assert len(records) == 3 * len(PAGES)
     full = {r.record_id: bytes(r.payload) for r in records if r.type == "response"}
     for i, _, html in PAGES:
-        name = f"<urn:capture:{'none' if i is None else i}>"
-        own = [r for r in records if r.record_id == name]
+        own = [r for r in records if r.type in ("response", "revisit") and r.record_id.startswith("<urn:capture:none-" if i is None else f"<urn:capture:{i}>")]
+        assert own
         assert all(r.payload_bytes == len((html or "").encode()) and r.payload_sha1 == digest(html) for r in own)
         assert all((full[r.refers_to] if r.type == "revisit" else bytes(r.payload)) == (html or "").encode() for r in own)
     kinds = sorted((r.record_id, r.type, r.refers_to) for r in records if r.type in ("response", "revisit") and r.payload_sha1 == digest("<p>same</p>"))
@@ -41,6 +41,14 @@ def test_transactions(spark):
     assert all(r.request.record_id and r.response.record_id == r.capture and r.metadata.fields.startswith("captureId: ") for r in whole)
 
 
+def test_captures_without_ids_are_each_their_own(spark):
+    path = scratch(spark, "warc")
+    warc.write_archives(frame(spark, [(None, "u", "same")] * 40 + [(None, None, None)] * 40 + [(1, "u", "same")]), path, file_bytes=5000)
+    whole = warc.assemble(warc.read_archives(spark, path)).collect()
+    assert len(whole) == 81 == len({r.capture for r in whole}) and all(r.request and r.response and r.metadata for r in whole)
+    assert {r.response.type for r in whole} == {"response"}
+
+
 def test_lone_records(spark):
     rows = [("response", "<a>", None, None, None, None, 1, 1, "X", bytearray(b"x"), None), ("request", "<b>", "<c>", None, None, None, 1, 1, None, None, None)]
     whole = {r.capture: r for r in warc.assemble(spark.createDataFrame(rows, warc.RECORD)).collect()}
