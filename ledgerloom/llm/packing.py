@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import give_back, stored
 
 WINDOW, END_ID, BUCKETS, SLACK, BROADCAST_ROWS = 2048, 1, 256, 4, 500_000
-YOUNG_WORDS = 450_000
+#: What a generation of words may hold, by their bytes, their ids' and ENTRY for the rest; longer words aren't kept.
+YOUNG_BYTES, ENTRY, LONG_WORD = 64 << 20, 130, 256
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 PIECES = "doc_id bigint, text_hash bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -44,7 +45,7 @@ class Words(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.tokenizer, self.old, self.held = Tokenizer.from_file(path), {}, 0
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
@@ -54,14 +55,14 @@ class Words(dict):
                 ids = self[word[:-1]] + self[word[-1:]]
             else:
                 ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+        if len(word) <= LONG_WORD:
+            self[word] = ids
+            self.held += len(word) + len(ids) + ENTRY
+            if self.held > YOUNG_BYTES:
+                self.old, self.held = dict(self), 0
+                self.clear()
         return ids
 
-    def age(self) -> None:
-        if len(self) > YOUNG_WORDS:
-            self.old = dict(self)
-            self.clear()
-
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers.
@@ -74,7 +75,6 @@ class Encoder:
         self.words = Words(path)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        self.words.age()
         end, get = np.array([END_ID], "<u4").tobytes(), self.words.__getitem__
         for t in texts:
             yield b"".join(map(get, (t or "").encode().lower().split())) + end

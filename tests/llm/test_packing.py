@@ -1,4 +1,5 @@
 import zlib
+from itertools import product
 
 import numpy as np
 import pytest
@@ -72,3 +73,34 @@ def test_plan_uses_every_length_once():
 def test_plan_edges(histogram):
     combos, over = packing.plan(dict(histogram))
     assert sum(len(c) * t for c, t in combos) + sum(over.values()) == sum(histogram.values())
+
+
+def test_repeat_counts_are_least_squares():
+    """No repeat count can be raised, nor a positive one lowered, with less squares: the optimum of a convex problem."""
+    rng = np.random.default_rng(6)
+    for window in (6, 9, 12):
+        histogram = {n: int(rng.integers(0, 60)) for n in range(1, window + 1)}
+        combos = packing.combinations(sorted(n for n, c in histogram.items() if c), window)
+        x = packing.solve({n: c for n, c in histogram.items() if c}, combos, sweeps=3000)
+        left = {n: c - sum(t * k.count(n) for k, t in zip(combos, x)) for n, c in histogram.items()}
+        for combo, t in zip(combos, x):
+            slope = sum(left[n] for n in combo)
+            assert slope < 0.1 and (t < 1e-6 or slope > -0.1)
+
+
+def test_least_squares_against_all_whole_counts():
+    """On tiny windows no whole numbers of repeats are better."""
+    histogram = {1: 3, 2: 5, 3: 4, 4: 2}
+    combos = packing.combinations(sorted(histogram), 4)
+    cost = lambda x: sum((c - sum(t * k.count(n) for k, t in zip(combos, x))) ** 2 for n, c in histogram.items())
+    best = min(cost(x) for x in product(range(6), repeat=len(combos)))
+    assert cost(packing.solve(dict(histogram), combos, sweeps=3000)) <= best + 1e-6
+
+
+def test_words_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "YOUNG_BYTES", 4000)
+    words = packing.Words(packing.tokenizer_path())
+    texts = [f"w{i}x." for i in range(300)] + ["y" * 5000]
+    ids = [words[t.encode()] for t in texts]
+    assert max(map(len, words)) <= packing.LONG_WORD and len(words) + len(words.old) < 80
+    assert ids == [words[t.encode()] for t in texts]
