@@ -48,6 +48,11 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Asks for the shuffles of results that were read to the end, and that nothing refers to, to be deleted now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Returns Arrow's unused memory to the system: a worker that ended a batch keeps it else, beside its executor."""
     pa.default_memory_pool().release_unused()
