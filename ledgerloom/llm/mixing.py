@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import WORD, row_hash, stored
 
 #: Words in a block, slots that are ranked together, rows that are summed together, and rows of one range or bucket.
-BLOCK_WORDS, SLOTS_TOGETHER, FAN, RANGE_ROWS, BUCKET_ROWS = 1024, 4096, 32, 100_000, 1000
+BLOCK_WORDS, SLOTS_TOGETHER, FAN, RANGE_ROWS, BUCKET_ROWS = 1024, 4096, 64, 100_000, 256
 #: Coarse cells of the unit interval (a power of two), and the slots that a fine cell has on average.
 CELLS, CELL_SLOTS = 4096, 16
 #: round(2**31 / golden ratio), odd: its multiples modulo 2**31 are a golden-ratio sequence in exact integers.
