@@ -10,7 +10,8 @@ from ..functions import text as X
 from ..operators import evaluate as V
 from ..operators import recall as R
 from ..operators import search as S
-from .base import query, t, values
+from ..session import shared_folder
+from .base import ORACLES, query, t, values
 
 ASKED = [(1, "the tion heat of"), (2, "leur dans une ention")]
 TOKENS = "list_distinct(regexp_extract_all(lower(q), '[\\p{L}\\p{N}]+'))"
@@ -43,6 +44,15 @@ def bm25_topk(spark, sf):
     return S.ranked(hits, "s", "rank", 20).select("question_id", "id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(ORACLES["bm25_topk"])
+def indexed_bm25_topk(spark, sf):
+    """The same through an index that is built once and opened again."""
+    path = shared_folder(spark, "index")
+    S.TextIndex.build(chunks(spark, sf), path)
+    hits = S.bm25(S.TextIndex.open(spark, path), asked(spark)).withColumn("s", F.round("bm25", 9))
+    return S.ranked(hits, "s", "rank", 20).select("question_id", "id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf, CAST(max(n_tokens) AS BIGINT) AS longest FROM (SELECT id, term, n_tokens, count(*) AS tf FROM (SELECT doc_id AS id, unnest(ts) AS term, len(ts) AS n_tokens FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS ts FROM documents)) GROUP BY ALL) GROUP BY term")
 def postings_stats(spark, sf):
     p = S.postings(chunks(spark, sf))
@@ -192,11 +202,8 @@ def retrieval_metrics(spark, sf):
     words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(S.TOKEN), 1), 1, 6)
     q = b.select(F.col("item_id").alias("question_id"), F.array_distinct(words).alias("terms"))
     hits = S.ranked(S.bm25(c, q).withColumn("s", F.round("bm25", 9)), "s", "rank", 10)
-    # The benchmark is a stated set of questions and broadcast; documents are scanned once.
-    inside = c.join(F.broadcast(b.select("item_id", F.col("text").alias("passage"))), F.contains("text", F.col("passage")))
-    positives = inside.groupBy("item_id").agg(F.collect_list("chunk_id").alias("positives"))
-    cases = b.select("item_id").join(positives, "item_id", "left").select(F.col("item_id").alias("question_id"), F.coalesce("positives", F.array().cast("array<bigint>")).alias("positives"))
-    out = V.summary(V.graded(cases, hits, "question_id"), 10)
+    positives = V.containing(c, b, "chunk_id", "text", "item_id", "text").select(F.col("item_id").alias("question_id"), F.col("chunk_id").alias("id"))
+    out = V.summary(V.graded_rows(q.select("question_id"), positives, hits, "question_id"), 10)
     return out.select("n_cases", *(F.round(c, 6).alias(c) for c in ("hit_at_1", "hit_at_k", "mrr")))
 
 

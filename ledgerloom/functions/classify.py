@@ -68,12 +68,24 @@ def clean_lines(body: Column, announcement: bool = False, **tables) -> Column:
     return F.filter(F.transform(F.split(body, r"\r\n|\n|\r"), X.strip), lambda x: ~noise_line(x, announcement, **tables))
 
 
+def tabular(lines, keywords, units, numeric, aligned):
+    """Whether so many lines, distinct keywords, lines with a unit, with numbers and with columns are a table. Counts are
+    numbers or columns: this is the one place that knows the thresholds."""
+    return (lines >= 3) & ((((keywords >= 2) | (units > 0)) & (numeric >= 2)) | (aligned >= 5))
+
+
+def numeric_line(line: Column) -> Column:
+    return line.rlike(r"\d") & line.rlike("[%元万亿,，.]")
+
+
+def aligned_line(line: Column) -> Column:
+    return line.rlike(r"\S+\s{2,}\S+")
+
+
 def table_like(body: Column, keywords: list[str] = rules.TABLE_KEYWORDS, unit: str = rules.TABLE_UNIT) -> Column:
-    """Keywords or a unit with two lines of numbers, or five lines with columns; never under three lines."""
     lines = F.filter(F.split(body, "\n"), lambda x: X.strip(x) != "")
-    numeric = F.size(F.filter(lines, lambda x: x.rlike(r"\d") & x.rlike("[%元万亿,，.]")))
-    aligned = F.size(F.filter(lines, lambda x: x.rlike(r"\S+\s{2,}\S+")))
-    return (F.size(lines) >= 3) & (((X.count_in(body, keywords) >= 2) & (numeric >= 2)) | (body.rlike(unit) & (numeric >= 2)) | (aligned >= 5))
+    count = lambda test: F.size(F.filter(lines, test))
+    return tabular(F.size(lines), X.count_in(body, keywords), body.rlike(unit).cast("int"), count(numeric_line), count(aligned_line))
 
 
 def chunk_type(doc_type: Column, section: Column, body: Column, block_type: Column, statements: list[str] = rules.STATEMENT_SECTIONS, keywords: list[str] = rules.TABLE_KEYWORDS) -> Column:
@@ -94,6 +106,12 @@ def chunk_type(doc_type: Column, section: Column, body: Column, block_type: Colu
     )
 
 
+def section_kinds(section: Column) -> Column:
+    """struct<plain, tabular>: the types of a report's text and tables under a section."""
+    kind = lambda block: chunk_type(F.lit("report"), section, F.lit(""), F.lit(block))
+    return F.struct(kind("").alias("plain"), kind("table_like").alias("tabular"))
+
+
 def section_by_body(section: Column, body: Column, table: dict[str, list[str]] = rules.SECTION_BY_BODY, generic: str = "财务报表") -> Column:
     """The section itself unless blank or generic; else the first whose name or two keywords the body has."""
     return first_match([((section != "") & (section != generic), section), *((body.contains(name) | (X.count_in(body, words) >= 2), name) for name, words in table.items())], section)

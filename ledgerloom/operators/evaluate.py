@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import written
 
 
 def cases(chunks: DataFrame, templates: Sequence[str], n: int, seed: int = 42, id_col: str = "chunk_id", keys: Sequence[str] = ("source_id",), terms_col: str = "terms") -> DataFrame:
@@ -24,11 +25,38 @@ def cases(chunks: DataFrame, templates: Sequence[str], n: int, seed: int = 42, i
     return made.join(every, [*keys, "term"]).groupBy("case_id", "question").agg(F.array_sort(F.collect_set("positive")).alias("positives"))
 
 
+def containing(rows: DataFrame, passages: DataFrame, id_col: str, text_col: str, passage_id: str, passage: str, token: str = r"([\p{L}\p{N}]+)") -> DataFrame:
+    """passage_id, id_col: the rows whose text contains a passage, each pair once.
+
+    A row with the passage has each of its tokens but the first and last one, which may be parts of longer tokens. So
+    rows and passages meet by the rarest such token, and only these pairs are compared in full. Passages of fewer than
+    three tokens have no such token: they are compared with each row."""
+    tokens = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(token), 1)
+    asked = passages.where(F.col(passage).isNotNull()).select(F.col(passage_id).alias("__p"), F.col(passage).alias("__passage"), tokens(passage).alias("__ts"))
+    inner = asked.where(F.size("__ts") > 2).select("__p", F.explode(F.array_distinct(F.slice("__ts", F.lit(2), F.size("__ts") - 2))).alias("__t"))
+    each = rows.select(F.col(id_col), F.explode(F.array_distinct(tokens(text_col))).alias("__t"))
+    held = written(each.join(inner.select("__t").distinct(), "__t"), "passage-tokens")
+    # A token that no row has is the rarest: its passage is nowhere.
+    counts = inner.join(held.groupBy("__t").agg(F.count("*").alias("__n")), "__t", "left")
+    rarest = counts.groupBy("__p").agg(F.min_by("__t", F.struct(F.coalesce("__n", F.lit(0)), "__t")).alias("__t"))
+    met = held.join(rarest, "__t").join(asked.select("__p", "__passage"), "__p").join(rows.select(F.col(id_col), F.col(text_col).alias("__text")), id_col)
+    short = rows.select(F.col(id_col), F.col(text_col).alias("__text")).join(asked.where(F.size("__ts") <= 2).select("__p", "__passage"), F.contains("__text", F.col("__passage")))
+    both = met.where(F.contains("__text", F.col("__passage"))).select("__p", id_col).unionByName(short.select("__p", id_col))
+    return both.distinct().withColumnRenamed("__p", passage_id)
+
+
 def graded(cases_: DataFrame, hits: DataFrame, case: str = "case_id", hit: str = "id", rank: str = "rank") -> DataFrame:
-    """case_id, first_rank (of a positive, null if none), n_found, n_positives."""
-    want = cases_.select(case, F.explode("positives").alias(hit))
+    """case_id, first_rank (of a positive, null if none), n_found, n_positives. Positives may be an array of each case."""
+    return graded_rows(cases_.select(case), cases_.select(case, F.explode("positives").alias(hit)), hits, case, hit, rank).withColumn("n_positives", F.col("n_positives").cast("int"))
+
+
+def graded_rows(cases_: DataFrame, positives: DataFrame, hits: DataFrame, case: str = "case_id", hit: str = "id", rank: str = "rank") -> DataFrame:
+    """The same with positives as rows (case, hit): a case may have any number."""
+    want = positives.select(case, hit).distinct()
     found = hits.select(case, hit, rank).join(want, [case, hit]).groupBy(case).agg(F.min(rank).alias("first_rank"), F.count("*").alias("n_found"))
-    return cases_.select(case, F.size("positives").alias("n_positives")).join(found, case, "left").select(case, "first_rank", F.coalesce("n_found", F.lit(0).cast("long")).alias("n_found"), "n_positives")
+    held = want.groupBy(case).agg(F.count("*").alias("n_positives"))
+    none = F.lit(0).cast("long")
+    return cases_.select(case).join(held, case, "left").join(found, case, "left").select(case, "first_rank", F.coalesce("n_found", none).alias("n_found"), F.coalesce("n_positives", none).alias("n_positives"))
 
 
 def summary(grades: DataFrame, k: int) -> DataFrame:

@@ -5,28 +5,54 @@ Results are new DataFrames; write them to a new path and swap, never over the pa
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import written
 
 
 def upserted(old: DataFrame, new: DataFrame, key: Sequence[str], version: str, created: str | None = None) -> DataFrame:
-    """The newest version of each key; its creation time stays the first one."""
-    every = old.unionByName(new, allowMissingColumns=True)
+    """The newest version of each key, of equal versions the new row; its creation time stays the first one. What is
+    still tied is settled by the rows' own values, so that a rerun keeps the same row."""
+    every = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
     w = W.partitionBy(*key)
-    out = every.withColumn("__n", F.row_number().over(w.orderBy(F.col(version).desc())))
+    tie = F.xxhash64(*[c for c in every.columns if c != "__new"])
+    out = every.withColumn("__n", F.row_number().over(w.orderBy(F.col(version).desc(), F.col("__new").desc(), tie)))
     out = out.withColumn(created, F.min(created).over(w)) if created else out
-    return out.where("__n = 1").drop("__n")
+    return out.where("__n = 1").drop("__n", "__new")
 
 
 def absent(new: DataFrame, old: DataFrame, keys: Sequence[Sequence[str]], order: Sequence[str]) -> DataFrame:
-    """Rows of `new` that break no unique key: not of the old rows, nor of an earlier new row. First wins."""
+    """Rows of `new` that break no unique key, inserted one by one in the order: each meets the old rows and the new ones
+    that were inserted before it, not those that were turned away themselves.
+
+    Rows that an old row bars go at once. Then, in rounds, a row that comes first of what is left under all of its keys
+    is in, and rows that share a key with one that is in are out. A round settles at least the first row of all; chains
+    of rows that bar each other alternately are what takes more than two. No row is lost and none is gathered."""
+    names = new.columns
     for key in keys:
-        new = new.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n").join(old.select(*key).distinct(), list(key), "left_anti")
-    return new
+        new = new.join(old.select(*key).distinct(), list(key), "left_anti").select(*names)
+    if len(keys) == 1:
+        return new.withColumn("__n", F.row_number().over(W.partitionBy(*keys[0]).orderBy(*order))).where("__n = 1").drop("__n")
+    columns, order = [*new.columns, "__row"], [*order, "__row"]
+    left, taken = written(new.withColumn("__row", F.monotonically_increasing_id())), None
+    while not left.isEmpty():
+        marked = left
+        for i, key in enumerate(keys):
+            marked = marked.withColumn(f"__n{i}", F.row_number().over(W.partitionBy(*key).orderBy(*order)))
+        in_ = reduce(lambda a, b: a & b, (F.col(f"__n{i}") == 1 for i in range(len(keys))))
+        marked = written(marked.withColumn("__in", in_))
+        fresh = marked.where("__in").select(*columns)
+        taken = fresh if taken is None else taken.unionByName(fresh)
+        left = marked.where(~F.col("__in")).select(*columns)
+        for key in keys:
+            left = left.join(fresh.select(*key).distinct(), list(key), "left_anti")
+        left = written(left)
+    return taken.select(*names) if taken is not None else new
 
 
 def unindexed(rows: DataFrame, checkpoint: DataFrame, id_col: str, **where: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..config import MultistageConfig, SearchConfig
 from ..functions import text as X
+from ..session import written
 from . import search
 
 
@@ -53,6 +54,32 @@ def recall(chunks: DataFrame, columns: list[str], limit: int = 8, **named) -> Da
     return top_documents(relaxed(found, every) if any(named.values()) else every, limit)
 
 
+def recall_each(chunks: DataFrame, asked: DataFrame, columns: list[str], limit: int = 8) -> DataFrame:
+    """`recall` for each of many questions (question_id, code, company, year, period; blank and 0 mean none): question_id,
+    source_pdf, columns, chunk_count, authority, rank, score. A question whose filters leave no document gets the best of all.
+
+    Chunks are counted by document and filter values first, so that questions meet a row for each of those: by code
+    where one is named, the others, a stated set, by what is in the company's name."""
+    lacking = {"code": "string", "company": "string", "year": "int", "report_type": "string"}
+    named = question_filter(chunks).withColumns({c: F.lit(None).cast(t) for c, t in lacking.items() if c not in chunks.columns})
+    keys = ["source_pdf", "code", "company", "year", "report_type"]
+    held = written(named.groupBy(*keys).agg(*(F.max(c).alias(f"__{c}") for c in columns), F.count("*").alias("__n"), F.max("source_authority_score").alias("__a")), "recall")
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    q = asked.select("question_id", value("code").alias("q_code"), value("company").alias("q_company"), F.coalesce(F.col("year").cast("int"), F.lit(0)).alias("q_year"), value("period").alias("q_period"))
+    any_ = (F.col("q_code") != "") | (F.col("q_company") != "") | (F.col("q_year") != 0) | (F.col("q_period") != "")
+    rest = ((F.col("q_year") == 0) | (F.col("year") == F.col("q_year"))) & ((F.col("q_period") == "") | (F.col("report_type") == F.col("q_period")))
+    by_code = held.join(q.where("q_code <> ''"), F.col("code").cast("string") == F.col("q_code")).where(rest)
+    by_name = held.join(q.where(any_ & (F.col("q_code") == "")), F.contains(F.lower("company"), F.lower("q_company")) & rest)
+    both = by_code.unionByName(by_name).groupBy("question_id", "source_pdf")
+    merge = (*(F.max(f"__{c}").alias(c) for c in columns), F.sum("__n").alias("chunk_count"), F.max("__a").alias("authority"))
+    order = [F.col("authority").desc(), F.col("publish_date").desc(), F.col("chunk_count").desc(), F.col("source_pdf")]
+    found = written(both.agg(*merge).withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(*order))).where(F.col("rank") <= limit), "recall")
+    every = held.groupBy("source_pdf").agg(*merge).orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    none = q.select("question_id").join(found.select("question_id").distinct(), "question_id", "left_anti")
+    out = found.unionByName(every.join(F.broadcast(none)))  # `limit` rows for each question that is left
+    return out.withColumn("score", F.coalesce(F.nullif("authority", F.lit(0.0)), F.lit(1.0)) + 1.0 / F.col("rank"))
+
+
 def focus_filter(df: DataFrame, columns: list[str], focus: str = "focus") -> DataFrame:
     """Rows of which a column has the row's focus in any case; blank, main and comparison let all pass."""
     hit = None
@@ -70,18 +97,20 @@ def prior(focus: Column, statement: Column, body: Column, income_metrics: list[s
 def multistage(chunks: DataFrame, docs: DataFrame, subs: DataFrame, config: MultistageConfig = MultistageConfig(), search_config: SearchConfig = SearchConfig(), statement: Callable[[], Column] | None = None) -> DataFrame:
     """question_id, chunk_id, source_pdf, score, rank for sub-questions (question_id, question, focus).
 
-    Recalled documents are a few, so they are broadcast to the chunks. BM25 numbers are those of the whole corpus.
-    A sub-question without a match takes chunks that have its focus, in the order of their ids."""
-    own = F.broadcast(docs.select("source_pdf", F.col("score").alias("doc_score")))
-    inside = chunks.join(own, "source_pdf")
+    Recalled documents are a few, or a few of each question (with a question_id). BM25 numbers are those of the whole
+    corpus. A sub-question without a match takes chunks that have its focus, in the order of their ids."""
+    each = ["question_id"] if "question_id" in docs.columns else []
+    inside = chunks.join(docs.select(*each, "source_pdf", F.col("score").alias("doc_score")), "source_pdf")
     asked = subs.withColumn("terms", X.search_terms(X.first_of("question", "focus")))
     most = max(config.chunks_a_question * 4, 20)
     body = [c for c in ("metric_terms", "display_text", "text") if c in chunks.columns]
     columns = ["chunk_id", "source_pdf", "doc_score", *body, *(["statement_type"] if "statement_type" in chunks.columns else [])]
-    hits = search.bm25(chunks, asked, config=search_config).join(inside.select(F.col("chunk_id").alias("id"), *columns[1:]), "id").join(F.broadcast(subs.select("question_id", "focus")), "question_id")
+    hits = search.bm25(chunks, asked, config=search_config).join(inside.select(*each, F.col("chunk_id").alias("id"), *columns[1:]), ["id", *each]).join(F.broadcast(subs.select("question_id", "focus")), "question_id")
     hits = search.ranked(focus_filter(hits, body), "bm25", "place", most)
     missed = subs.join(hits.select("question_id").distinct(), "question_id", "left_anti").where(F.coalesce("focus", F.lit("")) != "")
-    spare = inside.select(F.col("chunk_id").alias("id"), *columns[1:]).join(F.broadcast(missed.select("question_id", "focus")))
+    asked_for = F.broadcast(missed.select("question_id", "focus"))
+    spare = inside.select(*each, F.col("chunk_id").alias("id"), *columns[1:])
+    spare = spare.join(asked_for, "question_id") if each else spare.join(asked_for)
     have = None
     for c in body:
         one = F.lower(F.coalesce(F.col(c), F.lit(""))).contains(F.lower("focus"))

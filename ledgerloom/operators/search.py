@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from .. import rules
 from ..config import SearchConfig
 from ..functions import classify as C
 from ..functions import text as X
+from ..session import written
 
 TOKEN = r"([\p{L}\p{N}]+)"
 FILTERS = ("code", "industry", "year", "report_type", "doc_type", "announcement_category", "chunk_type", "section", "statement_type")
@@ -34,27 +36,63 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text"
     return tokens.groupBy("term", "id", "n_tokens").agg(F.count("*").alias("tf"))
 
 
-def corpus_size(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def corpus_size(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """One row: n (chunks), avg_tokens."""
     return with_tokens(chunks, id_col, text_col).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_tokens"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, id_col: str = "chunk_id", text_col: str = "text", config: SearchConfig = SearchConfig()) -> DataFrame:
+@dataclass(frozen=True)
+class TextIndex:
+    """A full-text index in a folder: postings that lie sorted by term, so that a search reads the asked terms' parts of
+    its files alone, and the corpus's numbers. Built again, it replaces nothing: give each build its own folder."""
+
+    postings: DataFrame
+    n: int
+    avg_tokens: float
+
+    @staticmethod
+    def build(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text") -> "TextIndex":
+        rows = postings(chunks, id_col, text_col)
+        rows.repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        corpus_size(chunks, id_col, text_col).write.parquet(f"{path}/size")
+        return TextIndex.open(chunks.sparkSession, path)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> "TextIndex":
+        size = spark.read.parquet(f"{path}/size").first()
+        return TextIndex(spark.read.parquet(f"{path}/postings"), size["n"], size["avg_tokens"] or 0.0)
+
+    def search(self, questions: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+        """question_id, id, bm25 of (question_id, terms)."""
+        asked = questions.select("question_id", F.explode(F.array_distinct("terms")).alias("term"))
+        tf = self.postings.join(asked.select("term").distinct(), "term").withColumn("tf", F.col("tf").cast("double"))
+        return weighed(tf, asked, F.lit(self.n), F.lit(self.avg_tokens), config)
+
+
+def weighed(tf: DataFrame, asked: DataFrame, n: Column, avg_tokens: Column, config: SearchConfig) -> DataFrame:
+    """question_id, id, bm25 from all postings (term, id, tf, n_tokens) of the asked terms (question_id, term)."""
+    df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    idf = F.greatest(F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(config.idf_floor))
+    share = F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("n_tokens") / avg_tokens))
+    parts = tf.join(df, "term").select("id", "term", (idf * share).alias("part"))
+    return parts.join(asked, "term").groupBy("question_id", "id").agg(F.sum("part").alias("bm25"))
+
+
+def bm25(chunks: DataFrame | TextIndex, questions: DataFrame, id_col: str = "chunk_id", text_col: str = "text", config: SearchConfig = SearchConfig()) -> DataFrame:
     """question_id, id, bm25 (larger is better) for chunks that have any of a question's terms.
 
-    `questions` has question_id and terms; its distinct terms are few and go to the tokens inside each row, so
-    that only counts of asked terms leave a row. Sizes and frequencies are the whole corpus's."""
+    `chunks` is an index, or a table that is scanned: each chunk is cut into tokens once, its tokens meet the asked terms
+    by a hash join, and only counts of asked terms are shuffled. Sizes and frequencies are the whole corpus's."""
+    if isinstance(chunks, TextIndex):
+        return chunks.search(questions, config)
     asked = questions.select("question_id", F.explode(F.array_distinct("terms")).alias("term"))
-    terms = asked.select("term").distinct().agg(F.collect_set("term").alias("asked"))
-    rows = with_tokens(chunks, id_col, text_col)
-    size = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_tokens"))
-    found = rows.join(F.broadcast(terms)).select("id", F.size("tokens").cast("double").alias("n_tokens"), F.explode(F.filter("tokens", lambda t: F.array_contains("asked", t))).alias("term"))
-    tf = found.groupBy("id", "term", "n_tokens").agg(F.count("*").cast("double").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    weighed = tf.join(F.broadcast(df), "term").join(F.broadcast(size))
-    idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(config.idf_floor))
-    share = F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("n_tokens") / F.col("avg_tokens")))
-    return weighed.select("id", "term", (idf * share).alias("part")).join(F.broadcast(asked), "term").groupBy("question_id", "id").agg(F.sum("part").alias("bm25"))
+    rows = with_tokens(chunks, id_col, text_col).select("id", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
+    each = rows.select("id", "n_tokens", F.explode_outer("tokens").alias("token"))
+    # A chunk's row without a term counts it for the corpus; there's one for each chunk, asked for or not.
+    tokens = each.join(asked.select(F.col("term").alias("token"), F.col("term")).distinct(), "token", "left")
+    counts = written(tokens.groupBy("id", "n_tokens", "term").agg(F.count("*").cast("double").alias("tf")), "bm25")
+    size = counts.groupBy("id").agg(F.max("n_tokens").alias("n_tokens")).agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg")).first()
+    return weighed(counts.where("term is not null"), asked, F.lit(size["n"]), F.lit(size["avg"] or 0.0), config)
 
 
 def ranked(df: DataFrame, score: str, rank: str, limit: int | None = None, by: str | None = "question_id", tie: str = "id") -> DataFrame:
@@ -132,9 +170,12 @@ def diversified(scored: DataFrame, score: str, source: Column, per_source: int,
 
 def adjacent(hits: DataFrame, chunks: DataFrame, window: int, id_col: str = "chunk_id", source_col: str = "source_id", section_col: str = "section", index_col: str = "chunk_index", text_col: str = "text", keys: Sequence[str] = ("question_id",)) -> DataFrame:
     """keys, id, context: each hit's text with its neighbours' by index in the same source and section, marked."""
-    own = hits.select(*keys, F.col(id_col).alias("id")).join(chunks.select(F.col(id_col).alias("id"), F.col(source_col).alias("s"), F.coalesce(F.col(section_col), F.lit("")).alias("sec"), F.col(index_col).alias("at")), "id")
-    near = chunks.select(F.col(id_col).alias("n_id"), F.col(source_col).alias("s"), F.coalesce(F.col(section_col), F.lit("")).alias("sec"), F.col(index_col).alias("n_at"), F.col(text_col).alias("t"))
-    both = own.join(near, ["s", "sec"]).where(F.col("n_at").between(F.col("at") - window, F.col("at") + window))
+    section = F.coalesce(F.col(section_col), F.lit(""))
+    own = hits.select(*keys, F.col(id_col).alias("id")).join(chunks.select(F.col(id_col).alias("id"), F.col(source_col).alias("s"), section.alias("sec"), F.col(index_col).alias("at")), "id")
+    near = chunks.select(F.col(id_col).alias("n_id"), F.col(source_col).alias("s"), section.alias("sec"), F.col(index_col).alias("n_at"), F.col(text_col).alias("t"))
+    # Each hit asks for its few places: a long section isn't met as a whole.
+    asked = own.withColumn("n_at", F.explode(F.sequence(F.col("at") - window, F.col("at") + window))).withColumn("n_at", F.col("n_at").cast(near.schema["n_at"].dataType))
+    both = asked.join(near, ["s", "sec", "n_at"])
     mark = F.when(F.col("n_id") == F.col("id"), "[matched] ").otherwise("[adjacent] ")
     part = F.struct(F.col("n_at").alias("at"), F.col("n_id").alias("id"), F.concat(mark, F.coalesce("t", F.lit(""))).alias("t"))
     return both.groupBy(*keys, "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), "\n\n").alias("context"))
@@ -148,17 +189,18 @@ def hydrated(candidates: DataFrame, chunks: DataFrame, columns: Sequence[str], i
     return both.withColumns(pick).drop("__found", *(f"__{c}" for c in columns))
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, config: SearchConfig = SearchConfig(), terms: list[str] = rules.METRIC_TERMS) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, config: SearchConfig = SearchConfig(), terms: list[str] = rules.METRIC_TERMS, index: TextIndex | None = None) -> DataFrame:
     """Hybrid search of (question_id, question, vector) over chunks: question_id, id, rank, final, dense, sparse, found_by.
 
-    Filters go to both scans; BM25's corpus numbers are those before the filters. Chunks are read again by the few
-    candidates' ids for the columns that scores need."""
+    Filters choose the chunks' ids first: vectors meet them before they are compared; BM25's corpus numbers are those
+    before the filters. Chunks are read again by the few candidates' ids for the columns that scores need. With an
+    `index` of the chunks no text is cut into tokens."""
     plan = expanded(questions, terms=terms).withColumn("terms", X.search_terms("retrieval_query")).withColumn("query_terms", query_terms(F.col("retrieval_query"), terms))
     allowed = metadata_filter(chunks, config.filters).select(F.col("chunk_id").alias("id"))
-    sparse = bm25(chunks, plan, config=config)
-    near = dense(vectors, plan)
+    sparse = bm25(index or chunks, plan, config=config)
     if config.filters:
-        sparse, near = sparse.join(allowed, "id", "left_semi"), near.join(allowed, "id", "left_semi")
+        sparse, vectors = sparse.join(allowed, "id", "left_semi"), vectors.join(allowed.withColumnRenamed("id", "chunk_id"), "chunk_id", "left_semi")
+    near = dense(vectors, plan)
     found = merged(ranked(near, "dense", "dense_rank", config.dense_limit()), ranked(sparse, "bm25", "sparse_rank", config.sparse_limit()))
     columns = [c for c in ("source_pdf", "source_id", "section", "statement_type", "metric_terms", "doc_type", "report_type", "publish_date", "source_authority_score", "display_text", "text") if c in chunks.columns]
     rows = hydrated(found, chunks, columns)

@@ -19,6 +19,8 @@ from ..operators import evidence as E
 from ..operators import facts as Facts
 from ..operators import recall as R
 from ..operators import search as S
+from ..session import written
+from . import analyze as A
 from . import route as P
 
 #: question_id, source_name, content, citation, chunk_id, score: what a source gives for questions.
@@ -39,20 +41,23 @@ def run_id(now: datetime | None = None) -> str:
     return (now or datetime.now(timezone.utc)).strftime("%Y%m%d_%H%M%S_%f")
 
 
-def gathered(questions: DataFrame, plan: DataFrame, sources: dict[str, Source], trace: list[dict]) -> DataFrame:
-    """All planned sources' evidence, in the plan's order; a source that fails is recorded and left out."""
+def gathered(questions: DataFrame, plan: DataFrame, sources: dict[str, Source], trace: list[dict], turn: int = 0) -> DataFrame:
+    """All planned sources' evidence with `turn` and `source_order`. Each source's rows are written as it runs, so one
+    that fails, at planning or at work, is recorded and left out, and none is computed twice."""
     spark, out = questions.sparkSession, None
-    for name, source in sources.items():
+    for nth, (name, source) in enumerate(sources.items()):
         asked = questions.join(plan.where(F.col("source_name") == name).select("question_id").distinct(), "question_id", "left_semi")
-        began = time.perf_counter()
+        began, n = time.perf_counter(), 0
         try:
             rows = source(asked).select("question_id", F.lit(name).alias("source_name"), "content", "citation", "chunk_id", "score").where(F.trim(F.coalesce("content", F.lit(""))) != "")
+            rows = written(rows.select("*", F.lit(turn).alias("turn"), F.lit(nth).alias("source_order")), "evidence")
+            n = rows.count()
             out = rows if out is None else out.unionByName(rows)
             status, why = "success", ""
         except Exception as error:  # noqa: BLE001  recorded: one source's failure isn't the others'
             status, why = "failed", str(error)[:200]
-        trace.append({"step": f"source:{name}", "status": status, "failure": why, "latency_ms": int(1000 * (time.perf_counter() - began))})
-    return out if out is not None else spark.createDataFrame([], EVIDENCE)
+        trace.append({"step": f"source:{name}", "status": status, "failure": why, "evidence": n, "latency_ms": int(1000 * (time.perf_counter() - began))})
+    return out if out is not None else spark.createDataFrame([], f"{EVIDENCE}, turn int, source_order int")
 
 
 def answered(questions: DataFrame, plan: Callable[[DataFrame], DataFrame], sources: dict[str, Source], answer: Callable[[DataFrame], DataFrame], contracts: DataFrame, metrics: list[str], rewrite: Callable[[DataFrame], DataFrame] | None = None, retries: int = 1) -> Run:
@@ -61,9 +66,11 @@ def answered(questions: DataFrame, plan: Callable[[DataFrame], DataFrame], sourc
     trace: list[dict] = []
     found, open_ = None, questions
     for turn in range(retries + 1):
-        new = gathered(open_, plan(open_), sources, trace)
+        began = time.perf_counter()
+        new = gathered(open_, plan(open_), sources, trace, turn)
         found = new if found is None else found.unionByName(new)
-        numbered = found.withColumn("seq", F.monotonically_increasing_id())
+        # The order in which it was found; inside a source by what the rows hold, the same on any run.
+        numbered = found.withColumn("seq", F.struct("turn", "source_order", (-F.coalesce("score", F.lit(0.0))).alias("best"), "citation", "chunk_id", "content"))
         key = E.dedupe_key(F.col("source_name"), F.lit(""), F.lit(""), F.lit(""), F.col("citation"), F.col("chunk_id"), F.col("content"))
         selected = E.ledger(numbered, key, "score", "seq")
         context = E.context(selected)
@@ -71,7 +78,7 @@ def answered(questions: DataFrame, plan: Callable[[DataFrame], DataFrame], sourc
         said = answer(questions.join(context, "question_id", "left"))
         n = selected.groupBy("question_id").agg(F.count("*").alias("n_citations"))
         checks = E.verified(contracts.join(said, "question_id").join(n, "question_id", "left").fillna(0, ["n_citations"]), facts)
-        trace.append({"step": f"turn:{turn}", "status": "success", "failure": "", "latency_ms": 0})
+        trace.append({"step": f"turn:{turn}", "status": "success", "failure": "", "evidence": found.count(), "latency_ms": int(1000 * (time.perf_counter() - began))})
         if turn == retries or rewrite is None:
             break
         failed = checks.where("next_action = 'retrieve_more'").select("question_id")
@@ -97,17 +104,41 @@ def prompt(question, context, contract):
     return F.concat_ws("\n\n", F.concat(F.lit("Question: "), question), F.concat(F.lit("Must answer: "), F.array_join(contract, ", ")), F.lit("Answer from the numbered context alone and cite its numbers."), context)
 
 
-def saved(run: Run, path: str, name: str) -> None:
-    """Tables of a run, a folder each."""
-    for part in ("evidence", "context", "answers", "checks"):
+def chat_prompt(question, history):
+    """The text for a question that goes to no source."""
+    return F.concat_ws("\n\n", F.lit("Answer the question directly, without citing sources."), F.nullif(F.coalesce(history, F.lit("")), F.lit("")), F.concat(F.lit("Question: "), question))
+
+
+PARTS = ("evidence", "context", "answers", "checks")
+
+
+def saved(run: Run, path: str, name: str, enabled: bool = True) -> list[str]:
+    """A run's tables, its trace, and its contexts and answers as text, a folder each under the run's name; nothing where
+    saving is off. The folders that were written."""
+    if not enabled:
+        return []
+    spark = run.answers.sparkSession
+    trace = spark.createDataFrame([tuple(t[k] for k in ("step", "status", "failure", "evidence", "latency_ms")) for t in run.trace], "step string, status string, failure string, evidence long, latency_ms long")
+    for part in PARTS:
         getattr(run, part).write.mode("overwrite").json(f"{path}/{name}/{part}")
+    trace.coalesce(1).write.mode("overwrite").json(f"{path}/{name}/trace")
+    counts = spark.createDataFrame([(name, len(run.trace))], "run_id string, steps long").crossJoin(run.evidence.agg(F.count("*").alias("evidence"), F.countDistinct("question_id").alias("questions")))
+    counts.write.mode("overwrite").json(f"{path}/{name}/summary")
+    for part, table, body in (("context_md", run.context, "context_text"), ("answer_md", run.answers, "answer")):
+        table.select(F.concat(F.lit("# "), F.col("question_id").cast("string"), F.lit("\n\n"), F.coalesce(body, F.lit("")))).write.mode("overwrite").text(f"{path}/{name}/{part}")
+    return [*PARTS, "trace", "summary", "context_md", "answer_md"]
 
 
 def filings_source(chunks: DataFrame, vectors: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, limit: int = 8, config: SearchConfig = SearchConfig()) -> Source:
-    """Filings for questions: chunks of recalled documents, and for questions without any, hybrid search if there are
-    vectors and a function that adds `vector` to questions."""
+    """Filings for questions: chunks of documents recalled by each question's code, else company, year and period, and
+    for questions without any, hybrid search if there are vectors and a function that adds `vector` to questions.
+
+    What a question names is read from it (`analyze.lexical`); a column of that name that it brings along goes first."""
     def run(asked: DataFrame) -> DataFrame:
-        docs = R.top_documents(R.documents(R.question_filter(chunks), ["publish_date"]), limit)
+        read = A.lexical(asked.select("question_id", "question")).select("question_id", *(F.col(c).alias(f"__{c}") for c in ("code", "year", "period")))
+        given = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in asked.columns else F.lit(None).cast("string")
+        named = asked.join(read, "question_id").select("question_id", *(F.coalesce(given(c), F.col(f"__{c}").cast("string"), F.lit("")).alias(c) for c in ("code", "period")), F.coalesce(given("year").cast("int"), F.nullif(F.col("__year").cast("string"), F.lit("")).cast("int"), F.lit(0)).alias("year"), F.coalesce(given("company"), F.lit("")).alias("company"))
+        docs = R.recall_each(chunks, named, ["publish_date"], limit)
         subs = asked.select("question_id", "question", F.lit("main").alias("focus"))
         body = chunks.select(F.col("chunk_id").alias("id"), F.col("text").alias("content"), F.col("source_pdf").alias("citation"))
         staged = R.multistage(chunks, docs, subs, search_config=config).select("question_id", F.col("chunk_id").alias("id"), "score")

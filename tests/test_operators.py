@@ -290,3 +290,69 @@ def test_sources_for_questions(spark):
     assert {(r.question_id, r.citation) for r in rows} == {(1, "a.pdf"), (2, "b.pdf")}
     payloads = spark.createDataFrame([("stock_price", "AAPL", '{"c": 1}')], "tool string, symbol string, payload string")
     assert [(r.question_id, r.citation) for r in Pipe.market_source(payloads)(q).collect()] == [(2, "stock_price/AAPL")]
+
+
+def test_absent_is_insertion_row_by_row(spark):
+    """Two unique keys: a row that is turned away bars no other."""
+    schema = "id string, h string, at int"
+    old = spark.createDataFrame([("x0", "h9", 0)], schema)
+    new = [("a", "h9", 1), ("a", "h1", 2), ("b", "h1", 3), ("b", "h2", 4), ("c", "h2", 5), ("c", "h3", 6), ("c", "h3", 6), ("d", "h9", 7)]
+    seen, want = [({"x0"}), ({"h9"})], []
+    for r in sorted(new, key=lambda r: r[2]):
+        if r[0] not in seen[0] and r[1] not in seen[1]:
+            want.append(r)
+            seen[0].add(r[0])
+            seen[1].add(r[1])
+    got = M.absent(spark.createDataFrame(new, schema), old, [["id"], ["h"]], ["at"])
+    assert sorted(map(tuple, got.collect())) == sorted(want) and got.columns == ["id", "h", "at"]
+    assert M.absent(got.limit(0), old, [["id"], ["h"]], ["at"]).count() == 0
+
+
+def test_upsert_of_equal_versions_takes_the_new_row(spark):
+    row = lambda v: spark.createDataFrame([("k", 1, v)], "k string, version int, v string")
+    assert M.upserted(row("old"), row("new"), ["k"], "version").first().v == "new"
+
+
+def test_each_question_recalls_by_what_it_names(spark):
+    rows = [(c, "cat", code, company, year, kind, 1.0, f"{year}-03-01") for c, code, company, year, kind in (("a24", "000001", "Alpha Ltd", 2024, "annual"), ("a25", "000001", "Alpha Ltd", 2025, "annual"), ("b25", "000002", "Beta Ltd", 2025, "q1"))]
+    c = spark.createDataFrame(rows, "source_pdf string, text string, code string, company string, year int, report_type string, source_authority_score double, publish_date string")
+    q = spark.createDataFrame([(1, "000001", "", 0, ""), (2, "", "beta", 0, ""), (3, "000001", "", 2025, ""), (4, "000009", "", 0, ""), (5, "", "", 0, "")], "question_id long, code string, company string, year int, period string")
+    got = {}
+    for r in R.recall_each(c, q, ["publish_date"], 2).orderBy("question_id", "rank").collect():
+        got.setdefault(r.question_id, []).append(r.source_pdf)
+    assert got == {1: ["a25", "a24"], 2: ["b25"], 3: ["a25"], 4: ["a25", "b25"], 5: ["a25", "b25"]}
+
+
+def test_filings_of_two_companies(spark):
+    """The same words in both companies' filings: each question gets its own company's."""
+    rows = [(f"{code}-{i}", f"{code}.pdf", f"profit of the year grew {i}", code, f"C{code}", 2025, "annual", 1.0, "2025-01-01") for code in ("300750", "600519") for i in range(3)]
+    c = spark.createDataFrame(rows, "chunk_id string, source_pdf string, text string, code string, company string, year int, report_type string, source_authority_score double, publish_date string")
+    asked = spark.createDataFrame([(1, "profit of 300750 in the year"), (2, "profit of 600519 in the year")], "question_id long, question string")
+    got = Pipe.filings_source(c)(asked).collect()
+    assert {(r.question_id, r.citation) for r in got} == {(1, "300750.pdf"), (2, "600519.pdf")}
+
+
+def test_a_source_that_fails_at_work_is_left_out(spark):
+    asked = spark.createDataFrame([(1, "q")], "question_id long, question string")
+    plan = asked.select("question_id", F.explode(F.array(F.lit("good"), F.lit("bad"))).alias("source_name"))
+    rows = lambda q, body: q.select("question_id", body.alias("content"), F.lit("c").alias("citation"), F.lit("").alias("chunk_id"), F.lit(1.0).alias("score"))
+    trace = []
+    out = Pipe.gathered(asked, plan, {"good": lambda q: rows(q, F.lit("text")), "bad": lambda q: rows(q, F.raise_error(F.lit("broken")).cast("string"))}, trace)
+    assert [r.content for r in out.collect()] == ["text"]
+    assert [(t["step"], t["status"], t["evidence"]) for t in trace] == [("source:good", "success", 1), ("source:bad", "failed", 0)] and "broken" in trace[1]["failure"]
+
+
+def test_index_gives_the_scans_scores(spark, tmp_path):
+    c = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} common {'x ' * (i % 4)}") for i in range(40)] + [(90, None), (91, "")], "chunk_id long, text string")
+    q = spark.createDataFrame([(1, ["w1", "common"]), (2, ["x", "none"]), (3, [])], "question_id long, terms array<string>")
+    index = S.TextIndex.build(c, str(tmp_path / "index"))
+    rows = lambda df: sorted((r.question_id, r.id, round(r.bm25, 9)) for r in df.collect())
+    assert rows(S.bm25(index, q)) == rows(S.bm25(c, q)) == rows(S.TextIndex.open(spark, str(tmp_path / "index")).search(q))
+
+
+def test_passages_are_found_by_their_rarest_token(spark):
+    texts = [(1, "the cat sat on the mat"), (2, "Xthe cat sat onY the"), (3, "THE CAT SAT ON"), (4, None), (5, "a b")]
+    passages = [(10, "the cat sat on"), (11, "cat"), (12, ""), (13, None), (14, "no such words at all"), (15, "b")]
+    got = V.containing(spark.createDataFrame(texts, "d long, t string"), spark.createDataFrame(passages, "p long, x string"), "d", "t", "p", "x")
+    want = {(p, d) for p, x in passages if x is not None for d, t in texts if t is not None and x in t}
+    assert {(r.p, r.d) for r in got.collect()} == want
