@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rows, questions, retrieval, tables, texts  # noqa: F401  each registers its queries
+from . import questions, retrieval, rows, stores, tables, texts  # noqa: F401  each registers its queries
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

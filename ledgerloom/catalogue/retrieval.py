@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import evaluate as V
 from ..operators import recall as R
 from ..operators import search as S
+from ..operators.chunking import metric_chunks
 from ..session import shared_folder
 from .base import ORACLES, query, t, values
 
@@ -207,10 +208,27 @@ def retrieval_metrics(spark, sf):
     return out.select("n_cases", *(F.round(c, 6).alias(c) for c in ("hit_at_1", "hit_at_k", "mrr")))
 
 
-@query()
+CASE_FORMS = ["{company} {year} {terms}?", "{terms} of {company}, {year}", "{company}: {terms}", "find {terms} ({section})"]
+
+
+@query(
+    """WITH c AS (SELECT doc_id, coalesce(source, '') AS code, doc_id % 3 AS year, coalesce(lang, '') AS report_type, lower(coalesce(text, '')) AS body, regexp_extract_all(lower(text), '\\p{L}{9,}') AS ts FROM documents),
+s AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', doc_id, '42')), doc_id) - 1 AS pos, count(*) OVER () AS total FROM c WHERE len(ts) > 0 QUALIFY pos <= 400),
+a AS (SELECT *, unnest(generate_series(CASE WHEN pos = 0 THEN least(total, 401) ELSE pos END, 400, least(total, 401))) AS attempt FROM s),
+k AS (SELECT *, list_sort(list_transform(ts, lambda x: {'h': md5(concat_ws('|', x, attempt, '42')), 't': x})) AS o FROM a),
+m AS (SELECT *, list_transform(o[1:1 + CAST('0x' || substr(md5(concat_ws('|', doc_id, attempt, 'n')), 1, 2) AS INTEGER) % least(2, len(o))], lambda x: x.t) AS terms,
+CAST('0x' || substr(md5(concat_ws('|', doc_id, attempt, 'q')), 1, 2) AS INTEGER) % 4 AS form FROM k),
+q AS (SELECT *, CASE form WHEN 0 THEN code || ' ' || year || ' ' || array_to_string(terms, '、') || '?' WHEN 1 THEN array_to_string(terms, '、') || ' of ' || code || ', ' || year WHEN 2 THEN code || ': ' || array_to_string(terms, '、') ELSE 'find ' || array_to_string(terms, '、') || ' ()' END AS question FROM m),
+p AS (SELECT attempt, any_value(question) AS question, any_value(q.doc_id) AS seed_context, list_sort(list(c.doc_id)) AS positives FROM q JOIN c USING (code, year, report_type) WHERE len(c.ts) > 0 AND len(list_filter(q.terms, lambda x: contains(c.body, x) OR contains(array_to_string(c.ts, ' '), x))) > 0 GROUP BY attempt)
+SELECT attempt, question, seed_context, CAST(len(positives) AS INTEGER) AS n_positives, list_max(positives) AS last_positive FROM p QUALIFY row_number() OVER (PARTITION BY question, positives ORDER BY attempt) = 1 ORDER BY attempt LIMIT 20"""
+)
 def eval_case_gen(spark, sf):
-    c = chunks(spark, sf).withColumn("terms", F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{9,})"), 1)), 1, 3))
-    return V.cases(c, ["What does {subject} say on {terms}?", "{terms} in {subject}"], 50, keys=("source_pdf",))
+    """Cases by turns over documents, whose long words are the metric terms."""
+    d = t(spark, sf, "documents")
+    terms = F.array_join(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}{9,})"), 1), " ")
+    c = d.select(F.col("doc_id").alias("chunk_id"), F.lit("").alias("company"), F.lit("").alias("section"), F.lit("").alias("statement_type"), F.coalesce("source", F.lit("")).alias("code"), (F.col("doc_id") % 3).alias("year"), F.coalesce("lang", F.lit("")).alias("report_type"), F.lit("report").alias("doc_type"), F.lit("financial_statement").alias("chunk_type"), "text", terms.alias("metric_terms"))
+    made = V.sampled(metric_chunks(c), 20, questions=CASE_FORMS)
+    return made.select("attempt", "question", "seed_context", F.size("positive_contexts").alias("n_positives"), F.array_max("positive_contexts").alias("last_positive"))
 
 
 @query()

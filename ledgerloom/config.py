@@ -2,7 +2,27 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
+from typing import TypeVar
+
+T = TypeVar("T")
+
+
+def from_environment(kind: type[T], environment: Mapping[str, str] | None = None, prefix: str = "LEDGERLOOM") -> T:
+    """A config with the fields that the environment sets as PREFIX_FIELD, in the fields' own types; others keep their
+    defaults. What doesn't parse is an error that names the variable."""
+    env, base, out = os.environ if environment is None else environment, kind(), {}
+    for f in fields(kind):
+        name, now = f"{prefix}_{f.name.upper()}", getattr(base, f.name)
+        if name not in env or isinstance(now, dict):
+            continue
+        try:
+            out[f.name] = env[name].strip().lower() in ("1", "true", "yes", "on") if isinstance(now, bool) else type(now)(env[name].strip())
+        except ValueError as wrong:
+            raise ValueError(f"{name}: {wrong}") from wrong
+    return kind(**out)
 
 
 @dataclass(frozen=True)

@@ -4,25 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import text as X
 from ..session import written
 
 
-def cases(chunks: DataFrame, templates: Sequence[str], n: int, seed: int = 42, id_col: str = "chunk_id", keys: Sequence[str] = ("source_id",), terms_col: str = "terms") -> DataFrame:
-    """case_id, question, seed_chunk, positives: n chunks in hashed order make questions from templates ({subject},
-    {terms}); positives are chunks of the same keys that share a term. Chunks meet by key and term, not in pairs."""
-    rows = chunks.where(F.size(terms_col) > 0)
-    order = F.xxhash64(F.col(id_col), F.lit(seed))
-    picked = rows.withColumn("__o", order).orderBy("__o", id_col).limit(n)
-    nth = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(len(templates))).cast("int")
-    text = F.element_at(F.array(*map(F.lit, templates)), nth + 1)
-    filled = F.replace(F.replace(text, F.lit("{subject}"), F.col(keys[0]).cast("string")), F.lit("{terms}"), F.array_join(F.slice(terms_col, 1, 2), " "))
-    made = picked.select(F.col(id_col).alias("case_id"), filled.alias("question"), *keys, F.explode(F.slice(terms_col, 1, 2)).alias("term"))
-    every = rows.select(F.col(id_col).alias("positive"), *keys, F.explode(terms_col).alias("term"))
-    return made.join(every, [*keys, "term"]).groupBy("case_id", "question").agg(F.array_sort(F.collect_set("positive")).alias("positives"))
+def draw(n: Column | int, *parts: Column) -> Column:
+    """A number below n (256 at most) that only the parts decide."""
+    digest = F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)))
+    return F.pmod(F.conv(F.substring(digest, 1, 2), 16, 10).cast("int"), n if isinstance(n, Column) else F.lit(n))
+
+
+SAME = ("code", "year", "report_type", "doc_type", "chunk_type")
+
+
+def sampled(chunks: DataFrame, n: int, seed: int = 42, most_terms: int = 2, questions: Sequence[str] = rules.CASE_QUESTIONS, labels: dict[str, str] = rules.STATEMENT_LABELS, tries: int = 20, id_col: str = "chunk_id", body: Sequence[str] = ("raw_text", "text", "embed_text")) -> DataFrame:
+    """n cases (attempt and the columns of a case file) from metric-bearing chunks, at most `tries` attempts a case.
+
+    Chunks are shuffled by hash and taken in turn, over and over; an attempt draws some of the chunk's terms and a form
+    of question. An attempt without a term, or with an earlier one's question and positives, gives no case. Positives
+    are the chunks with the same SAME columns, and statement if the chunk has one, in which a term is found."""
+    attempts = n * tries
+    shuffled = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
+    # At most `attempts` rows are numbered; of fewer rows each is tried again every `total` attempts.
+    first = chunks.select(id_col, "company", "section", "statement_type", "metric_terms", *SAME).withColumn("__order", shuffled).orderBy("__order", id_col).limit(attempts + 1)
+    seeds = written(first.withColumn("__at", F.row_number().over(W.orderBy("__order", id_col)) - 1), "case-seeds")
+    total = max(1, seeds.count())
+    turns = F.sequence(F.when(F.col("__at") == 0, F.lit(total)).otherwise(F.col("__at")).cast("long"), F.lit(attempts).cast("long"), F.lit(total).cast("long"))
+    tried = seeds.where(F.when(F.col("__at") == 0, F.lit(total)).otherwise(F.col("__at")) <= attempts).withColumn("attempt", F.explode(turns))
+    names = F.filter(F.split("metric_terms", r"\s+"), lambda t: (t != "") & ~t.isin(*labels.values()))
+    by_hash = F.array_sort(F.transform(names, lambda t: F.struct(F.md5(F.concat_ws("|", t, F.col("attempt").cast("string"), F.lit(str(seed)))).alias("h"), t.alias("t"))))
+    rows = tried.withColumn("__names", F.transform(by_hash, lambda x: x["t"])).where(F.size("__names") > 0)
+    some = draw(F.least(F.lit(most_terms), F.size("__names")), F.col(id_col), F.col("attempt"), F.lit("n")) + 1
+    rows = rows.withColumn("terms", F.slice("__names", F.lit(1), some))
+    form = F.element_at(F.array(*map(F.lit, questions)), draw(len(questions), F.col(id_col), F.col("attempt"), F.lit("q")) + 1)
+    section = X.first_of(F.coalesce("section", F.lit("")), F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv)), F.col("statement_type")), F.lit("")))
+    for hole, value in {"company": X.first_of(F.coalesce("company", F.lit("")), F.col("code").cast("string")), "year": F.col("year").cast("string"), "report_type": F.col("report_type"), "section": section, "terms": F.array_join("terms", "、")}.items():
+        form = F.replace(form, F.lit("{" + hole + "}"), value)
+    made = written(rows.select("attempt", F.col(id_col).alias("seed_context"), *SAME, F.coalesce("statement_type", F.lit("")).alias("statement_type"), F.coalesce("section", F.lit("")).alias("section"), "terms", form.alias("question")), "case-attempts")
+    there = [F.col(c) for c in body if c in chunks.columns]
+    held = chunks.select(*SAME, F.coalesce("statement_type", F.lit("")).alias("__s"), F.col(id_col).alias("__id"), F.lower(F.coalesce("metric_terms", F.lit(""))).alias("__m"), F.lower(F.coalesce(*there, F.lit(""))).alias("__b"))
+    met = made.join(held, list(SAME)).where("statement_type = '' or statement_type = __s")
+    hit = F.exists("terms", lambda t: F.contains("__m", F.lower(t)) | F.contains("__b", F.lower(t)))
+    found = met.where(hit).groupBy("attempt").agg(F.array_sort(F.collect_list("__id")).alias("__found"))
+    cases_ = made.join(found, "attempt", "left").withColumn("__found", F.coalesce("__found", F.array().cast(found.schema["__found"].dataType)))
+    seeded = F.when(F.array_contains("__found", F.col("seed_context")), F.col("__found")).otherwise(F.concat(F.array("seed_context"), "__found"))
+    once = cases_.withColumn("positive_contexts", seeded).withColumn("__n", F.row_number().over(W.partitionBy("question", "positive_contexts").orderBy("attempt"))).where("__n = 1")
+    filters = F.struct(*(F.col(c) for c in SAME), F.nullif("statement_type", F.lit("")).alias("statement_type"))
+    return once.orderBy("attempt").limit(n).select("attempt", "question", F.lit("").alias("gold_answer"), "positive_contexts", "seed_context", filters.alias("metadata_filter"), F.col("section").alias("expected_section"), F.col("statement_type").alias("expected_statement_type"), F.col("terms").alias("metric_terms"))
 
 
 def containing(rows: DataFrame, passages: DataFrame, id_col: str, text_col: str, passage_id: str, passage: str, token: str = r"([\p{L}\p{N}]+)") -> DataFrame:

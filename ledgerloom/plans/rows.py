@@ -4,6 +4,7 @@ counts. All are expressions or joins over DataFrames."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -93,7 +94,7 @@ def per_case(search, cases: DataFrame, most: int = 200) -> DataFrame:
         raise ValueError(f"over {most} different filters: group the cases")
     out = None
     for g in groups:
-        own = cases.where(" and ".join(f"{c} <=> {'null' if g[c] is None else repr(g[c])}" for c in FILTERS)) if any(g) else cases.where(" and ".join(f"coalesce({c}, '') = ''" for c in FILTERS))
+        own = cases.where(reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(g[c])) for c in FILTERS)))
         found = search(own, {c: g[c] for c in FILTERS if g[c]})
         out = found if out is None else out.unionByName(found)
     return out

@@ -154,3 +154,25 @@ DEFAULT_ROUTE, NO_SYMBOL_ROUTE = "stock_price", "stock_search"
 TOOLS_WITHOUT_SYMBOL = ["earnings_calendar", "market_news", "stock_symbols", "stock_search"]
 VALUATION_KEYS = ["peTTM", "peBasicExclExtraTTM", "peNormalizedAnnual", "forwardPE", "pbAnnual", "pbQuarterly", "psTTM", "epsTTM", "epsBasicExclExtraItemsTTM", "marketCapitalization", "enterpriseValue", "52WeekHigh", "52WeekLow"]
 FRESHNESS = {"announcement": 1.0, "q1": 0.65, "q3": 0.65, "semiannual": 0.65, "annual": 0.35, "other": 0.5}
+
+# The scripts of the market service and their operations.
+TOOLS = {
+    "symbols.py": ["help", "search", "stock-symbols"],
+    "stock_market.py": ["help", "quote", "candles", "profile", "peers"],
+    "fundamentals.py": ["help", "metrics", "financials", "earnings", "dividends", "earnings-calendar"],
+    "news.py": ["help", "company-news", "market-news", "sentiment"],
+    "analyst.py": ["help", "recommendations", "price-target", "upgrades"],
+    "technical.py": ["help", "indicator"],
+}
+
+# The labels of the lines before a chunk's text, the column of each, and what stands for a blank one.
+HEADER_LINES = [
+    ("公司", "company", ""), ("代码", "code", ""), ("行业", "industry", "未知"), ("文档类型", "doc_type", ""), ("报告类型", "report_type", ""),
+    ("年份", "year", ""), ("发布日期", "publish_date", ""), ("来源类型", "source_type", "cninfo"), ("标题", "title", ""), ("章节", "section", ""),
+    ("块类型", "chunk_type", ""), ("公告类别", "announcement_category", ""),
+]
+# Forms of a case's question.
+CASE_QUESTIONS = [
+    "{company} {year} {report_type} {terms}是多少？", "查询{company}{year}{report_type}报告中的{terms}",
+    "{company}在{year}{report_type}的{terms}情况", "根据{company}{year}{report_type}{section}，{terms}是多少？",
+]

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.stores import exists
+
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: Sequence[str], order: str, files_a_batch: int = 100) -> StreamingQuery:
     """Appends rows of new Parquet files in `source` to `target`, the first row of each key alone, and ends when all
@@ -16,12 +18,10 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     def write(batch: DataFrame, number: int) -> None:
         first = batch.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(order))).where("__n = 1").drop("__n")
         path = f"{target}/batch={number}"
-        try:
+        if exists(spark, target):
+            # Only the keys of what is there are read; this batch's own earlier try isn't.
             old = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(target).where(~F.input_file_name().contains(f"/batch={number}/"))
             first = first.join(old.select(*key), list(key), "left_anti")
-        except Exception as missing:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
         first.write.mode("overwrite").parquet(path)
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
