@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,9 +56,30 @@ def swept(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _trim = None
+
+
 def give_back() -> None:
-    """Returns Arrow's unused memory to the system: a worker that ended a batch keeps it else, beside its executor."""
+    """Returns unused memory of Arrow and the C library to the system: a worker that ended a batch keeps it else, beside
+    its executor."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow, which gives memory back when its task ends: workers are kept for later stages."""
+    @wraps(run)
+    def ran(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return ran
 
 
 def ascii_lowered(text: Column) -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lowered, stored
+from .common import ascii_lowered, frugal, stored
 
 SLOTS = 4  # in a bucket of a filter
 BLANK = "\t\n\x0b\x0c\r "
@@ -268,6 +268,7 @@ class LineIndex:
     def _sent(self, pairs: DataFrame) -> DataFrame:
         sent, shards = self.spark.sparkContext.broadcast([tuple(r) for r in self.filters.select("shard", "n_buckets", "slots").collect()]), self.shards
 
+        @frugal
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = {s: _open(b, raw) for s, b, raw in sent.value}
             for batch in batches:
@@ -308,6 +309,7 @@ class LineIndex:
 
 def _rewriter(text_col: str):
     """Drops the lines whose keys are gone; only documents that lose some are looked at line by line."""
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)

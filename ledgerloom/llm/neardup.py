@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, removed, stored
+from .common import frugal, give_back, removed, stored
 
 WORDS, TREES, PER_TREE, DEPTHS, REGION, BROADCAST_ROWS = 5, 20, 6, (3, 6, 12), 32, 300_000
 POSTED, CHUNK, HOT = 32, 512, 100_000  # nodes of a shingle that are paired in one row, and in one of several chunks
@@ -116,6 +116,7 @@ def node_of(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63
 
 
+@frugal
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
@@ -138,6 +139,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SETS)], schema=_SETS)
 
 
+@frugal
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Normal texts, compressed."""
     small = zstandard.ZstdCompressor(level=1)
@@ -189,6 +191,7 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(every.where("a < b").distinct(), "forest-pairs"), crowd
 
 
+@frugal
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of compressed normal texts."""
     big = zstandard.ZstdDecompressor()
@@ -258,6 +261,7 @@ def crowded(crowd: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFr
     return found.unionByName(confirmed(likely(few, nodes), texts)).distinct()
 
 
+@frugal
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -275,6 +279,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "s_a", "s_b").mapInArrow(_likely, "a bigint, b bigint, match double")
 
 
+@frugal
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     big = zstandard.ZstdDecompressor()
     opened: dict[bytes, np.ndarray] = {}

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import give_back, stored
+from .common import frugal, give_back, stored
 
 WINDOW, END_ID, BUCKETS, SLACK, BROADCAST_ROWS = 2048, 1, 256, 4, 500_000
 #: What a generation of words may hold, by their bytes, their ids' and ENTRY for the rest; longer words aren't kept.
-YOUNG_BYTES, ENTRY, LONG_WORD = 64 << 20, 130, 256
+YOUNG_BYTES, ENTRY, LONG_WORD = 32 << 20, 130, 256
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 PIECES = "doc_id bigint, text_hash bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -102,6 +102,7 @@ def _slices(batch: pa.RecordBatch, rows: int = 500, size: int = 2 << 20) -> Iter
 
 
 def _pieces(path: str, window: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for whole in batches:
@@ -117,6 +118,7 @@ def _pieces(path: str, window: int):
 
 
 def _cut(path: str):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for whole in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, give_back, row_hash
+from .common import fold, frugal, give_back, row_hash
 
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, SEED = 4000, 6000, 10, 64, 7
 BLOCK, GROUP, FILTERS, TAPS, HIDDEN, WIDTH = 64, 4, 24, 8, 16, 8
@@ -241,6 +241,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", as_col: str = "
     docs = docs.drop(as_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(as_col, T.DoubleType())])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for whole in batches:
