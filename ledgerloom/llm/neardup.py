@@ -191,15 +191,53 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(every.where("a < b").distinct(), "forest-pairs"), crowd
 
 
-@frugal
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of compressed normal texts."""
+#: Shingles of the crowd are ordered by how many fall into their bucket of a table of this size, then by themselves. Any
+#: order that all nodes share is exact; the table, 2 MB whatever the input, only lets rare shingles come first.
+ORDER_BITS = 18
+
+
+def _bucket(found: np.ndarray) -> np.ndarray:
+    return (found.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
+def _opened(batch: pa.RecordBatch, rows: int = 200) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Nodes and their shingles, some at a time."""
     big = zstandard.ZstdDecompressor()
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield part["node"].to_pylist(), [shingles(big.decompress(w)) for w in part["words"].to_pylist()]
+
+
+@frugal
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's texts fall into each bucket."""
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            found = [shingles(big.decompress(w)).view(np.int64) for w in part["words"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([part["node"], pa.array(found, pa.list_(pa.int64()))], names=["node", "found"])
+        for _, found in _opened(batch):
+            at, n = np.unique(_bucket(np.concatenate(found)), return_counts=True)
+            counts[at] += n
+    held = np.flatnonzero(counts)
+    for lo in range(0, len(held), 1 << 16):
+        at = held[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
+
+
+def _rarest(sent):
+    """node, token: of n shingles n - ceil(n * WHOLE / PART) + 1, rarest first. Those alone in their bucket are in no other text."""
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, found in _opened(batch):
+                owners, tokens = [], []
+                for node, own in zip(nodes, found):
+                    f = sent.value[_bucket(own)]
+                    first = np.lexsort((own, f))[: len(own) - (len(own) * WHOLE + PART - 1) // PART + 1]
+                    first = first[f[first] > 1]
+                    owners.append(np.full(len(first), node, np.int64))
+                    tokens.append(own[first].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.array(np.concatenate(tokens))], names=["node", "token"])
+
+    return run
 
 
 PAIRS = "a bigint, b bigint"
@@ -239,15 +277,13 @@ def _between(key: tuple, rows: pa.Table) -> pa.Table:
 
 def crowded(crowd: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Links a < b between different components (node, label) in the crowd: enough to connect all that reach the threshold."""
-    held = texts.join(crowd, "node", "left_semi").mapInArrow(_unpacked, "node bigint, found array<bigint>")
-    tokens = stored(held.select("node", F.explode("found").alias("token")), "crowd-tokens")
-    counts = stored(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"), "crowd-counts")
-    common = tokens.join(counts, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("rare"))
+    held = stored(texts.join(crowd, "node", "left_semi").select("node", "words"), "crowd-texts")
+    order = np.zeros(1 << ORDER_BITS, np.int64)
+    for r in held.mapInArrow(_counted, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # 2^ORDER_BITS rows at most
+        order[r.bucket] = r.n
+    rare = held.mapInArrow(_rarest(held.sparkSession.sparkContext.broadcast(order)), "node bigint, token bigint")
     known = nodes.join(crowd, "node", "left_semi").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n_shingles", "sketch")
-    # Of n shingles n - ceil(n * WHOLE / PART) + 1 are asked for, rarest first: those of one node come before the common ones.
-    asked = F.expr(f"int(n_shingles - (n_shingles * {WHOLE} + {PART - 1}) div {PART} + 1 - (n_shingles - size(rare)))")
-    rare = common.join(known.select("node", "n_shingles", "label"), "node").where(asked > 0).select("node", "label", "n_shingles", F.explode(F.slice("rare", F.lit(1), asked)).alias("r"))
-    posted = stored(rare.select("node", "label", "n_shingles", F.col("r.token").alias("token")), "crowd-posted")
+    posted = stored(rare.join(known.select("node", "label", "n_shingles"), "node").select("node", "label", "n_shingles", "token"), "crowd-posted")
     sizes = posted.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 1 and low <> high").select("token", "n")
     open_ = stored(posted.join(sizes, "token"), "crowd-open")
     line = open_.where(F.col("n") <= POSTED).groupBy("token").agg(F.collect_list(F.struct("node", "label", "n_shingles")).alias("line"))
