@@ -17,6 +17,7 @@ no rows give no rows; columns other than id and text are ignored.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +33,9 @@ from .common import frugal, give_back, stored
 WINDOW, END_ID, BUCKETS, SLACK, BROADCAST_ROWS = 2048, 1, 256, 4, 500_000
 #: What a generation of words may hold, by their bytes, their ids' and ENTRY for the rest; longer words aren't kept.
 YOUNG_BYTES, ENTRY, LONG_WORD = 32 << 20, 130, 256
-ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+ALNUM, SIGNS, SPECIAL = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789"), string.punctuation.encode(), b"<|"
+#: New words that go to the tokenizer in one call; words whose ids are looked up together, but for texts of a slice.
+TOGETHER, PORTION = 200, 50_000
 
 PIECES = "doc_id bigint, text_hash bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
@@ -44,25 +47,78 @@ class Words(dict):
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.old, self.held = Tokenizer.from_file(path), {}, 0
+        # Words of ASCII letters in lower case need nothing but the model.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            # A sign after an ASCII letter or digit is a token of its own, and most words come with several signs.
-            if len(word) > 1 and word[-1] in b".,;:!?" and word[-2] in ALNUM:
-                ids = self[word[:-1]] + self[word[-1:]]
-            else:
-                ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONG_WORD:
-            self[word] = ids
-            self.held += len(word) + len(ids) + ENTRY
-            if self.held > YOUNG_BYTES:
-                self.old, self.held = dict(self), 0
-                self.clear()
+            self.keep({word: ids})
         return ids
 
+    def keep(self, ids: dict[bytes, bytes]) -> None:
+        self.update(ids)
+        self.held += sum(map(len, ids)) + sum(map(len, ids.values())) + ENTRY * len(ids)
+        if self.held > YOUNG_BYTES:
+            self.old, self.held = dict(self), 0
+            self.clear()
+
+    def of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of all these words. New words of letters are found together: a call for each costs several times as much."""
+        found = dict(zip(words, map(self.get, words)))
+        new = [w for w, ids in found.items() if ids is None]
+        old = {w: ids for w, ids in zip(new, map(self.old.get, new)) if ids is not None}
+        self.keep(old)
+        found.update(old)
+        # Signs at the end, after an ASCII letter or digit, are a token of their own, and most words come with several.
+        signed, rest = {}, []
+        for w in new:
+            if w in old or len(w) > LONG_WORD:
+                continue
+            first = w.rstrip(SIGNS)
+            if first and len(first) < len(w) and first[-1] in ALNUM and SPECIAL not in w:
+                signed[w] = first
+            else:
+                rest.append(w)
+        if signed:
+            parts = self.of({*signed.values(), *(w[len(first) :] for w, first in signed.items())})
+            whole = {w: parts[first] + parts[w[len(first) :]] for w, first in signed.items()}
+            self.keep(whole)
+            found.update(whole)
+            known = {w: parts[w] for w in rest if w in parts}
+            found.update(known)
+            rest = [w for w in rest if w not in known]
+        self._together(found, self.plain, [w for w in rest if w.isalpha()])  # bytes: ASCII letters alone
+        self._together(found, self.tokenizer, [w for w in rest if not w.isascii() and w.decode().isalpha()])
+        found.update((w, self[w]) for w in new if found[w] is None)
+        return found
+
+    def _together(self, found: dict[bytes, bytes], tokenizer, words: list[bytes]) -> None:
+        for i in range(0, len(words), TOGETHER):
+            part = words[i : i + TOGETHER]
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            last = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(last) == len(part):  # else one isn't a single word to the tokenizer, and each is found by itself
+                whole = ids.tobytes()
+                own = dict(zip(part, [whole[a:b] for a, b in zip([0, *last], last)]))
+                self.keep(own)
+                found.update(own)
+
+
+def _split(text: str | None) -> list[bytes]:
+    """Words in lower case, but for those with the sign of special tokens, which the tokenizer finds before it lower-cases."""
+    raw = (text or "").encode()
+    return [w if SPECIAL in w else w.lower() for w in raw.split()] if SPECIAL in raw else raw.lower().split()
+
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers.
@@ -75,9 +131,15 @@ class Encoder:
         self.words = Words(path)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        end, get = np.array([END_ID], "<u4").tobytes(), self.words.__getitem__
-        for t in texts:
-            yield b"".join(map(get, (t or "").encode().lower().split())) + end
+        end, split = np.array([END_ID], "<u4").tobytes(), [_split(t) for t in texts]
+        short = [words for words in split if len(words) <= PORTION]
+        get = self.words.of(set().union(*short)).__getitem__
+        for words in split:
+            if len(words) <= PORTION:
+                yield b"".join(map(get, words)) + end
+            else:
+                parts = (words[i : i + PORTION] for i in range(0, len(words), PORTION))
+                yield b"".join([b"".join(map(self.words.of(set(p)).__getitem__, p)) for p in parts]) + end
 
 
 _encoders: dict[str, Encoder] = {}

@@ -104,3 +104,46 @@ def test_words_are_bounded_by_bytes(monkeypatch):
     ids = [words[t.encode()] for t in texts]
     assert max(map(len, words)) <= packing.LONG_WORD and len(words) + len(words.old) < 80
     assert ids == [words[t.encode()] for t in texts]
+
+
+def ids_of(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for x in texts]
+
+
+def test_new_words_of_letters_are_found_together():
+    encode = packing.Encoder(packing.tokenizer_path())
+    one, calls = encode.words.tokenizer, []
+
+    class Counted:
+        def encode(self, word, **how):
+            calls.append(word)
+            return one.encode(word, **how)
+
+        encode_batch_fast = one.encode_batch_fast
+
+    encode.words.tokenizer = Counted()
+    names = [a + b + c for a in "abcdefghij" for b in ("xé", "oo", "ßi", "qu") for c in "klmnopqrst"]
+    texts = [" ".join(names), " ".join(n + s for n in names for s in (".", ",", "###")), None]
+    assert list(encode(texts)) == ids_of(texts) and list(encode(texts)) == ids_of(texts)
+    assert 0 < len(calls) < 50
+
+
+def test_words_of_all_kinds(monkeypatch):
+    odd = ["it's", "o'", "don't.", "'S", "x\u0301.", "é.", "e\u0301a", "ＡＢ", "ﬁn", "İx", "ΣΑΣ", "a\u00a0b", "\u00a0", "a\u2028b", "x-y", "a_", "_", "1.5", "12%%", "³", "漢字", "ʰa", "a\x1cb.", "=\u0338", "a=\u0338", "y" * 300, "y" * 300 + ".", "🙂", "ㅤa"]
+    texts = [" ".join(odd), *odd, "\n".join(o + "!?" for o in odd), "", None, " \t"]
+    want = ids_of(texts)
+    assert list(packing.Encoder(packing.tokenizer_path())(texts)) == want
+    monkeypatch.setattr(packing, "TOGETHER", 3)
+    monkeypatch.setattr(packing, "PORTION", 4)
+    monkeypatch.setattr(packing, "YOUNG_BYTES", 2000)
+    encode = packing.Encoder(packing.tokenizer_path())
+    assert list(encode(texts)) == want and list(encode(texts)) == want
+    assert encode.words.held <= 2000
+
+
+def test_special_tokens_are_found_in_their_own_case():
+    texts = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "A<|startoftext|>. B", "<|StartOfText|>x<|endoftext|>"]
+    assert list(packing.Encoder(packing.tokenizer_path())(texts)) == ids_of(texts)
