@@ -28,16 +28,20 @@ def embedder(load: Callable[[], Model]) -> Callable:
 
 
 def hashed(size: int = 64, token: str = r"[^\W_]+") -> Callable[[], Model]:
-    """The stand-in where no model is plugged in: signed counts of hashed words."""
+    """The stand-in where no model is plugged in: signed counts of hashed words, in lower case. A text whose words cancel
+    each other out gets their plain counts, so that only one without a word is zero."""
     def load() -> Model:
         words = re.compile(token)
 
         def model(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), size))
             for i, text in enumerate(texts):
-                for w in words.findall(text.lower()):
-                    h = crc32(w.encode())
+                hashes = [crc32(w.lower().encode()) for w in words.findall(text)]
+                for h in hashes:
                     out[i, h % size] += 1.0 if h & 0x80000000 else -1.0
+                if hashes and not out[i].any():
+                    for h in hashes:
+                        out[i, h % size] += 1.0
             return out
 
         return model

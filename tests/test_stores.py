@@ -2,11 +2,14 @@
 
 import json
 from pathlib import Path
+from zlib import crc32
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.catalogue import ORACLES, QUERIES
 from ledgerloom.config import SearchConfig, from_environment
 from ledgerloom.operators import chunking as K
 from ledgerloom.operators import embedding as M
@@ -46,6 +49,20 @@ def test_vectors_have_length_one(spark):
     assert np.allclose(got[1], got[2]) and np.isclose((got[5] ** 2).sum(), 1) and not got[3].any() and not got[4].any()
 
 
+def test_text_vectors_agree_with_sql_on_short_texts(spark, tmp_path):
+    by_place = {}
+    for i in range(1000):
+        h = crc32(f"w{i}".encode())
+        by_place.setdefault(h % 64, {})[h >> 31] = f"w{i}"
+    pair = next(p for p in by_place.values() if len(p) == 2)
+    texts = [f"{pair[0]} {pair[1]}", f"{pair[1]}, {pair[0]}: {pair[0]}; {pair[1]}", pair[0], "é", "où", "漢字", "\u212a", "İ", "٣", "_", "a_", "K9é", "", None, " \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["text_vectors"](spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(duck.sql(ORACLES["text_vectors"]).fetchall())
+
+
 @pytest.mark.parametrize(
     "raw, error, command",
     [
